@@ -7,13 +7,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import spans, tokens
+from sparkloom.llm import language, scans, spans, tokens
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.relabelled(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "lang_samples"))
+
+
+@REGISTRY.add("p3_languages")
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "lang_samples")).distinct()
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repairs(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "parsed"))
+
+
+@REGISTRY.add("p5_text")
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "parsed"))
+
+
 @REGISTRY.add("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
