@@ -7,13 +7,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import language, scans, spans, tokens
+from sparkloom.llm import language, pages, repeats, scans, spans, tokens
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_lines(table(spark, sf_dir, "chunk"))
+
+
+@REGISTRY.add("p2_text")
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "chunk"))
+
+
 @REGISTRY.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.relabelled(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "lang_samples"))
@@ -24,6 +34,16 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "lang_samples")).distinct()
 
 
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.surroundings(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "download"))
+
+
+@REGISTRY.add("p4_text")
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_bodies(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "download"))
+
+
 @REGISTRY.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repairs(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "parsed"))
