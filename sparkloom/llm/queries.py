@@ -7,13 +7,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import language, pages, repeats, scans, spans, tokens
+from sparkloom.llm import conversations, language, mixing, pages, repeats, scans, spans, tokens
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.left_out(table(spark, sf_dir, "turns"))
+
+
+@REGISTRY.add("p1_conversations")
+def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(table(spark, sf_dir, "turns"))
+
+
 @REGISTRY.add("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, sf_dir, "chunk"))
@@ -59,6 +69,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@REGISTRY.add("p8_mix")
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@REGISTRY.add("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 @REGISTRY.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.pairs_found(table(spark, sf_dir, "documents"), "doc_id", "text")
