@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import conversations, language, mixing, pages, repeats, scans, spans, tokens
+from sparkloom.llm import answers, conversations, language, mixing, pages, repeats, scans, spans, tokens
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import table
 
@@ -64,6 +64,11 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "parsed"))
 
 
+@REGISTRY.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.defects(table(spark, sf_dir, "results_quick"), table(spark, sf_dir, "lang_samples"))
+
+
 @REGISTRY.add("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
