@@ -18,7 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,19 +51,19 @@ def line_digests(chunks: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame
 def summaries(lines: DataFrame, share: float = SHARE) -> DataFrame:
     """(source_id, digest, n): partitions' counters, and their errors as rows whose digest is null."""
 
-    def pruned(source: np.ndarray, digest: np.ndarray, n: np.ndarray, chunks: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, ...]:
+    def pruned(source: np.ndarray, digest: np.ndarray, n: np.ndarray, weight: np.ndarray, chunks: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, ...]:
         """Counters by (source, digest); of a source with more than its budget the counters are lowered by the first one beyond it.
 
         With w occurrences in m chunks and a budget of 2 w / (share m) counters, an amount subtracted from more than that many counters is
-        less than half of share times m.
+        less than half of share times m. (Budgets follow w / m as it is when they are needed; should errors still add up to a source's
+        bound, ``repeated`` counts all lines of that source.)
         """
         order = np.lexsort((-n, source))
         source, digest, n = source[order], digest[order], n[order]
         starts = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(source)))
-        weight = np.add.reduceat(n, starts) if len(starts) else np.zeros(0)
         of = source[starts]
-        budget = np.ceil(2 * weight / (share * np.maximum(chunks[of], 1))).astype(np.int64)
+        budget = np.ceil(2 * weight[of] / (share * np.maximum(chunks[of], 1))).astype(np.int64)
         over = sizes > budget
         cut_at = np.where(over, n[np.minimum(starts + budget, len(n) - 1)], 0)
         error[of] += cut_at
@@ -70,9 +71,9 @@ def summaries(lines: DataFrame, share: float = SHARE) -> DataFrame:
         keep = n > 0
         return source[keep], digest[keep], n[keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str | None, int] = {}
-        chunks, error = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        weight, chunks, error = (np.zeros(0, np.int64) for _ in range(3))
         S, D, N = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -87,28 +88,30 @@ def summaries(lines: DataFrame, share: float = SHARE) -> DataFrame:
             order = np.lexsort((d, s))
             s, d, n = s[order], d[order], n[order]
             first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (d[1:] != d[:-1]))) if len(s) else np.zeros(0, np.int64)
-            S, D, N = pruned(s[first], d[first], np.add.reduceat(n, first) if len(first) else n, chunks, error)
+            S, D, N = pruned(s[first], d[first], np.add.reduceat(n, first) if len(first) else n, weight, chunks, error)
             held, size = [], 0
 
-        for pdf in batches:
-            codes = np.array([names.setdefault(x, len(names)) for x in pdf["source_id"].where(pdf["source_id"].notna(), None)], np.int64)
+        for batch in batches:
+            codes = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
             if len(names) > len(chunks):
                 more = np.zeros(len(names) - len(chunks), np.int64)
-                chunks, error = np.concatenate([chunks, more]), np.concatenate([error, more])
+                weight, chunks, error = (np.concatenate([x, more]) for x in (weight, chunks, error))
             np.add.at(chunks, codes, 1)
-            arrays = [np.unique(np.asarray(x, np.int64)) if x is not None and len(x) else np.zeros(0, np.int64) for x in pdf["lines"]]
-            held.append((np.repeat(codes, [len(a) for a in arrays]), np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            np.add.at(weight, codes, sizes)
+            held.append((np.repeat(codes, sizes), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
             size += len(held[-1][0])
             if size > GATHERED:
                 fold()
         fold()
-        of = np.array(list(names), object)
-        yield pd.DataFrame({"source_id": of[S] if len(S) else [], "digest": pd.array(D, "Int64"), "n": N})
+        of = list(names)
         bad = np.flatnonzero(error)
-        yield pd.DataFrame({"source_id": of[bad] if len(bad) else [], "digest": pd.array([None] * len(bad), "Int64"), "n": error[bad]})
+        source = pa.array([of[k] for k in [*S.tolist(), *bad.tolist()]], pa.string())
+        digest = pa.concat_arrays([pa.array(D, pa.int64()), pa.nulls(len(bad), pa.int64())])
+        yield pa.RecordBatch.from_arrays([source, digest, pa.array(np.concatenate([N, error[bad]]))], names=["source_id", "digest", "n"])
 
-    known = lines.select("source_id", F.expr("filter(lines, x -> x is not null)").alias("lines"))
-    return known.mapInPandas(run, "source_id string, digest long, n long")
+    known = lines.select("source_id", F.expr("array_distinct(filter(lines, x -> x is not null))").alias("lines"))
+    return known.mapInArrow(run, "source_id string, digest long, n long")
 
 
 def repeated(lines: DataFrame, share: float = SHARE, min_chunks: int = MIN_CHUNKS) -> DataFrame:
@@ -128,6 +131,11 @@ def repeated(lines: DataFrame, share: float = SHARE, min_chunks: int = MIN_CHUNK
     exploded = lines.select("chunk_id", F.col("source_id").alias("s"), F.explode(F.expr("array_distinct(filter(lines, x -> x is not null))")).alias("d"))
     few = broadcast_if_small(candidates)
     hits = exploded.join(few, exploded["s"].eqNullSafe(few["source_id"]) & (exploded["d"] == few["digest"]))
+    # Where a summary's error reaches the bound, every line of the source is counted; no source of the given data needs it.
+    loose = cut(bound.where(f"error >= {share} * chunks").select(F.col("s").alias("source_id"), "chunks"))
+    if not loose.isEmpty():
+        whole = exploded.join(loose, exploded["s"].eqNullSafe(loose["source_id"])).select("chunk_id", "s", "d", "source_id", F.col("d").alias("digest"), "chunks")
+        hits = hits.join(loose.select(F.col("source_id").alias("x")), F.col("s").eqNullSafe(F.col("x")), "left_anti").unionByName(whole)
     exact = hits.groupBy("source_id", "digest").agg(F.count_distinct("chunk_id").alias("k"), F.first("chunks").alias("chunks"))
     return exact.where(f"k >= {min_chunks} and k >= {share} * chunks").select("source_id", "digest")
 
