@@ -1,5 +1,9 @@
 """All queries for the reference's operators."""
 
+from sparkloom.plans import scalars
 from sparkloom.plans.registry import Registry
 
 REGISTRY = Registry()
+for _module in (scalars,):
+    REGISTRY.queries |= _module.REGISTRY.queries
+    REGISTRY.sql |= _module.REGISTRY.sql
