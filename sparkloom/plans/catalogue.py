@@ -1,9 +1,9 @@
 """All queries for the reference's operators."""
 
-from sparkloom.plans import scalars, search
+from sparkloom.plans import corpus, scalars, search
 from sparkloom.plans.registry import Registry
 
 REGISTRY = Registry()
-for _module in (scalars, search):
+for _module in (scalars, search, corpus):
     REGISTRY.queries |= _module.REGISTRY.queries
     REGISTRY.sql |= _module.REGISTRY.sql

@@ -19,7 +19,8 @@ q = REGISTRY.add
 def docs_of(spark, d, whole: bool = True) -> DataFrame:
     c = chunks(spark, d).where("text is not null")
     text = T.embed_text(F.col("title"), F.col("section"), F.col("text")) if whole else F.col("section")
-    return lexical.tokenised(c, "chunk_id", text)
+    # Statistics, vocabulary and postings all read the tokens: they are written once, as an index is.
+    return cut(lexical.tokenised(c, "chunk_id", text))
 
 
 def queries_of(spark, d) -> DataFrame:
