@@ -1,9 +1,9 @@
 """All queries for the reference's operators."""
 
-from sparkloom.plans import corpus, scalars, search
+from sparkloom.plans import answers, corpus, graph, products, scalars, search, sessions
 from sparkloom.plans.registry import Registry
 
 REGISTRY = Registry()
-for _module in (scalars, search, corpus):
+for _module in (scalars, search, corpus, products, graph, sessions, answers):
     REGISTRY.queries |= _module.REGISTRY.queries
     REGISTRY.sql |= _module.REGISTRY.sql
