@@ -82,6 +82,7 @@ def row_products(rows: DataFrame, block: int = 512) -> DataFrame:
 
 def related(assoc: DataFrame, top: int = 8, least: float = 0.15) -> DataFrame:
     """(term, related, score): half the cosine of the association rows, half the clipped npmi; the best ``top`` of at least ``least``."""
+    assoc = cut(assoc)
     rows = assoc.where("ppmi > 0").select("a", "b", "ppmi")
     size = rows.groupBy("a").agg(F.sqrt(F.sum(F.col("ppmi") * F.col("ppmi"))).alias("size"))
     unit = cut(rows.join(size, "a").select("a", F.col("b").alias("c"), (F.col("ppmi") / (F.col("size") + 1e-9)).alias("v")))
