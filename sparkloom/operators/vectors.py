@@ -26,8 +26,8 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, n: int, label: str | None = None, least: float = -2.0) -> DataFrame:
-    """(query_id, id, score, rank from 0): for each query the ``n`` rows of highest cosine, at least ``least``, ties by id.
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, n: int | None, label: str | None = None, least: float = -2.0) -> DataFrame:
+    """(query_id, id, score, rank from 0): for each query the ``n`` rows of highest cosine, at least ``least``, ties by id; all if n is None.
 
     With ``label`` only rows of another label count. Queries are collected in blocks of ``BLOCK`` vectors; each partition multiplies its rows
     with a block and keeps ``n`` per query, so that only n * queries rows of a partition are shuffled. Null and zero vectors match nothing.
@@ -54,7 +54,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, n: in
                     sims[np.isnan(sims)] = -9
                     if label:
                         sims[q_labels[:, None] == part[label].to_numpy(object)[None, :]] = -9
-                    k = min(n, sims.shape[1])
+                    k = min(n or sims.shape[1], sims.shape[1])
                     # Rounded as they are compared; the least id wins a tie, so ids are sorted first.
                     order = np.argsort(part["id"].to_numpy(), kind="stable")
                     best = np.argsort(-np.round(sims[:, order], 9), axis=1, kind="stable")[:, :k]
@@ -74,4 +74,5 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, n: in
     if block or not parts:
         parts.append(matched(block) if block else known.where("false").select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w) - 1)
+    return ranked if n is None else ranked.where(F.col("rank") < n)
