@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from sparkloom.functions import text as T
 from sparkloom.runtime import broadcast_if_small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries scored at once by ``search``; their terms and weights are what is sent to the partitions.
+BLOCK = 256
 
 
 def tokenised(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -47,6 +54,70 @@ def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return weighted.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+def search(docs: DataFrame, queries: DataFrame, n: int, corpus: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank from 0): the best ``n`` documents of each query, ties by id.
+
+    The same scores as ``scores``, but no list of all matches is made: the asked terms with their weights are sent to the partitions, each
+    keeps its best ``n`` of every query, and only those are shuffled. Statistics are of ``corpus`` (``docs`` if none is given), so that a
+    filter on ``docs`` doesn't change them. What is sent is the query set, in blocks of ``BLOCK`` queries.
+    """
+    corpus = docs if corpus is None else corpus
+    stats = collection_stats(corpus)
+    idf = inverse_frequencies(corpus, stats)
+    wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = wanted.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")).crossJoin(F.broadcast(stats.select("avgdl")))
+    kind_q, kind_id = queries.schema["query_id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
+    blocks: list[tuple[list, list[str], np.ndarray, float]] = []
+    held: dict = {}
+
+    def close() -> None:
+        terms = sorted({t for found in held.values() for t, _, _ in found})
+        at = {t: k for k, t in enumerate(terms)}
+        matrix = np.zeros((len(terms), len(held)))
+        for j, found in enumerate(held.values()):
+            for t, w, _ in found:
+                matrix[at[t], j] = w
+        blocks.append((list(held), terms, matrix, next(iter(held.values()))[0][2]))
+        held.clear()
+
+    for r in weights.orderBy("query_id", "term").toLocalIterator():
+        if r.query_id not in held and len(held) == BLOCK:
+            close()
+        held.setdefault(r.query_id, []).append((r.term, r.weight, r.avgdl))
+    if held:
+        close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                ids, dl, tokens = part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2)
+                of = np.repeat(np.arange(len(ids)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+                for q_ids, terms, matrix, avgdl in blocks:
+                    at = pc.fill_null(pc.index_in(tokens.flatten(), pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+                    hit = at >= 0
+                    tf = np.bincount(of[hit] * len(terms) + at[hit], minlength=len(ids) * len(terms)).reshape(len(ids), len(terms)).astype(float)
+                    s = np.where(tf > 0, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)[:, None]), 0.0) @ matrix
+                    ranked = s[order].round(9)
+                    top_of = np.argsort(-ranked, axis=0, kind="stable")[:n]
+                    for j, query in enumerate(q_ids):
+                        new = [(-ranked[i, j], ids[order[i]], s[order[i], j]) for i in top_of[:, j] if s[order[i], j] > 0]
+                        if new:
+                            best[query] = sorted([*best.get(query, ()), *new])[:n]
+        rows = [(query, i, score) for query, found in best.items() for _, i, score in found]
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (to_arrow(kind_q), to_arrow(kind_id), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+
+    found = docs.select("id", "dl", "tokens").mapInArrow(run, f"query_id {kind_q}, id {kind_id}, score double")
+    return top(found, n)
+
+
+def to_arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+
+
 def top(scored: DataFrame, n: int) -> DataFrame:
     """The best ``n`` of each query with their rank from 0; ties by id. Scores are compared at 9 places, as sums differ in the last bits."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("id"))

@@ -108,7 +108,7 @@ def top7(spark, d):
 def rul11(spark, d):
     """What a citation of a hit may rely on: the chunk with the one before and the one behind."""
     c = chunks(spark, d).select("chunk_id", "text")
-    best = lexical.top(lexical.scores(docs_of(spark, d), queries_of(spark, d)), 3).select("query_id", F.col("id").alias("chunk_id"))
+    best = lexical.search(docs_of(spark, d), queries_of(spark, d), 3).select("query_id", F.col("id").alias("chunk_id"))
     text = lambda k, n: c.select(F.col("chunk_id").alias(k), F.col("text").alias(n))
     e = best.join(neighbours(spark, d), "chunk_id").join(text("chunk_id", "t"), "chunk_id").join(text("previous", "p"), "previous", "left").join(text("next", "n"), "next", "left")
     whole = F.concat_ws(" ", "p", "t", "n")

@@ -31,6 +31,10 @@ def bm25(spark, d, whole: bool = True) -> DataFrame:
     return lexical.scores(docs_of(spark, d, whole), queries_of(spark, d))
 
 
+def best(spark, d, n: int, whole: bool = True) -> DataFrame:
+    return lexical.search(docs_of(spark, d, whole), queries_of(spark, d), n)
+
+
 def sql_bm25(name: str, text: str) -> str:
     """Common table expressions ending in ``name`` (query_id, id, score)."""
     p = name
@@ -60,17 +64,18 @@ def vocabulary(spark, d):
 
 @q("agg9_bm25_search", f"{WITH}, {sql_top('best', 'whole', 20)} SELECT query_id, id AS chunk_id, round(score, 5) AS score, rank FROM best")
 def search(spark, d):
-    return lexical.top(bm25(spark, d), 20).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return best(spark, d, 20).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @q("fil2_search_within_agent", f"{WITH}, {sql_top('best', '(SELECT whole.* FROM whole JOIN chunks ON id = chunk_id WHERE agent = ' + chr(39) + 'law' + chr(39) + ')', 10)} SELECT query_id, id AS chunk_id, round(score, 5) AS score FROM best")
 def search_agent(spark, d):
     law = chunks(spark, d).where("agent = 'law'").select(F.col("chunk_id").alias("id"))
-    return lexical.top(bm25(spark, d).join(law, "id", "left_semi"), 10).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"))
+    docs = docs_of(spark, d)
+    return lexical.search(docs.join(law, "id", "left_semi"), queries_of(spark, d), 10, corpus=docs).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"))
 
 
 def fused(spark, d) -> DataFrame:
-    lists = [lexical.top(bm25(spark, d, whole), 30) for whole in (True, False)]
+    lists = [best(spark, d, 30, whole) for whole in (True, False)]
     return fusion.reciprocal_rank(*lists)
 
 
@@ -170,9 +175,9 @@ def joi2(spark, d):
     SELECT DISTINCT query_id, chunk_id FROM near WHERE chunk_id IS NOT NULL AND (query_id, chunk_id) NOT IN (SELECT query_id, id FROM capped)""",
 )
 def context(spark, d):
-    best = cut(capped(spark, d).select("query_id", F.col("id").alias("chunk_id"), "place"))
-    near = best.where("place <= 5").join(neighbours(spark, d), "chunk_id").select("query_id", F.explode(F.array("previous", "next")).alias("chunk_id")).where("chunk_id is not null")
-    return near.join(best, ["query_id", "chunk_id"], "left_anti").distinct()
+    hits = cut(capped(spark, d).select("query_id", F.col("id").alias("chunk_id"), "place"))
+    near = hits.where("place <= 5").join(neighbours(spark, d), "chunk_id").select("query_id", F.explode(F.array("previous", "next")).alias("chunk_id")).where("chunk_id is not null")
+    return near.join(hits, ["query_id", "chunk_id"], "left_anti").distinct()
 
 
 _REF = "(Section|Regulation|Rule|Clause)"
@@ -230,7 +235,7 @@ def centroids(spark, d):
 
 @q("fil19_empty_searches", f"{WITH}, m AS (SELECT query_id, max(score) AS best FROM whole GROUP BY query_id) SELECT query_id, round(coalesce(best, 0), 5) AS best, coalesce(best, 0) < 0.003 AS empty FROM asked LEFT JOIN m USING (query_id)")
 def fil19(spark, d):
-    m = bm25(spark, d).groupBy("query_id").agg(F.max("score").alias("best"))
+    m = best(spark, d, 1).select("query_id", F.col("score").alias("best"))
     return asked(spark, d).select("query_id").join(m, "query_id", "left").select("query_id", F.round(F.coalesce("best", F.lit(0.0)), 5).alias("best"), (F.coalesce("best", F.lit(0.0)) < 0.003).alias("empty"))
 
 
@@ -243,8 +248,8 @@ def fil19(spark, d):
 )
 def agg18(spark, d):
     """Of each of a query's best three chunks the window of 300 characters, every 100, that shares most words with the question."""
-    best = lexical.top(bm25(spark, d), 3).select("query_id", F.col("id").alias("chunk_id"))
-    c = best.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(asked(spark, d), "query_id")
+    top3 = best(spark, d, 3).select("query_id", F.col("id").alias("chunk_id"))
+    c = top3.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(asked(spark, d), "query_id")
     n = F.length("text")
     starts = F.when(n <= 300, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 151, F.lit(100)))
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1)))
@@ -253,6 +258,11 @@ def agg18(spark, d):
     return s.groupBy("query_id", "chunk_id").agg(F.max(F.struct("shared", -F.col("start"))).alias("m")).select("query_id", "chunk_id", (-F.col("m.col2")).alias("start"), F.col("m.shared").alias("shared"))
 
 
+@q("agg9_scores_of_all_matches", f"{WITH} SELECT query_id, count(*) AS matches, round(sum(score), 4) AS total FROM whole GROUP BY query_id")
+def all_scores(spark, d):
+    return bm25(spark, d).groupBy("query_id").agg(F.count("*").alias("matches"), F.round(F.sum("score"), 4).alias("total"))
+
+
 @q("fil1_embedding_texts", f"WITH {CHUNKS} SELECT chunk_id, {SQL_EMBED} AS embed_text FROM chunks WHERE text IS NOT NULL")
 def fil1(spark, d):
     c = chunks(spark, d).where("text is not null")
