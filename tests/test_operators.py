@@ -65,6 +65,17 @@ def test_bm25_against_plain_python(spark):
     assert lexical.scores(docs.limit(0), spark.createDataFrame([("q", query)], "query_id string, tokens array<string>")).count() == 0
 
 
+def test_search_gives_the_best_of_all_scores(spark):
+    rows = [(k, " ".join(f"w{(k * i) % 17} lamp" if i % 3 else "fee" for i in range(1, 5 + k % 9))) for k in range(300)]
+    docs = lexical.tokenised(spark.createDataFrame(rows, "doc long, text string").repartition(5), "doc", F.col("text"))
+    asks = spark.createDataFrame([("a", ["fee", "w3", "w3"]), ("b", ["lamp", "w5"]), ("c", ["unseen"]), ("d", [])], "query_id string, tokens array<string>")
+    want = {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in lexical.top(lexical.scores(docs, asks), 7).collect()}
+    for block in (1, 256):
+        lexical.BLOCK = block
+        assert {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in lexical.search(docs, asks, 7).collect()} == want
+    assert lexical.search(docs.limit(0), asks, 7).count() == 0 and lexical.search(docs, asks.limit(0), 7).count() == 0
+
+
 def test_fusion_and_caps(spark):
     a = spark.createDataFrame([("q", "x", 0), ("q", "y", 1)], "query_id string, id string, rank int")
     b = spark.createDataFrame([("q", "y", 0), ("q", "z", 1)], "query_id string, id string, rank int").withColumn("score", F.lit(0))
