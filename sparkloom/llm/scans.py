@@ -52,8 +52,12 @@ def skeleton(word: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> str:
     w = "".join(c for c in w if not unicodedata.combining(c) or not c < "Ͱ")
     # "c" before "e" so that "cl" and "el" agree; the second pass maps what the first produced ("8" to "b" to "h").
     w = w.translate(ONE).translate(ONE)
-    for pair, one in pairs:
-        w = w.replace(pair, one)
+    # To the end, as one pair can make another ("rri" is "rn" is "m").
+    before = None
+    while w != before:
+        before = w
+        for pair, one in pairs:
+            w = w.replace(pair, one)
     return w
 
 

@@ -53,7 +53,7 @@ def test_surroundings_of_pages(spark):
 
 
 def test_skeletons_join_what_recognition_mixes_up():
-    same = [("within", "withln"), ("mark", "rnark"), ("water", "vvater"), ("sectional", "sectiorial"), ("instrument", "instriiment"), ("standards", "5tanclards"), ("register", "regisfer"), ("official", "offi¢ial"), ("reading", "reàding"), ("failing", "failinq"), ("harvanda", "harvancla")]
+    same = [("within", "withln"), ("mark", "rnark"), ("water", "vvater"), ("sectional", "sectiorial"), ("instrument", "instriiment"), ("furnish", "furriish"), ("standards", "5tanclards"), ("register", "regisfer"), ("official", "offi¢ial"), ("reading", "reàding"), ("failing", "failinq"), ("harvanda", "harvancla")]
     for right, wrong in same:
         assert any(scans.skeleton(right, p) == scans.skeleton(wrong, p) for p in scans.ORDERS), (right, wrong)
     assert scans.bad_number("20l4") and scans.bad_number("4OS21") and not any(map(scans.bad_number, ["2014", "m2", "IS", "12th", "x"]))
