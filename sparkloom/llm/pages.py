@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from sparkloom.runtime import broadcast_if_small, cut
 
 PEERS = 3
-#: A constant node stands in at least so many fragments and this share of its source's; one of all sources in this share of the sources.
-LEAST = 3
+#: A constant node stands in at least so many fragments (list items and headings, which content repeats by chance, in one more) and this
+#: share of its source's; one of all sources in at least three and this share of the sources.
+LEAST = 2
+LEAST_SOURCES = 3
+#: A node in this share of a source's fragments is constant without a match too: one that changes places is passed over by alignments.
+OFTEN = 0.05
 SHARE = 0.015
 SOURCES_SHARE = 0.02
 
@@ -170,18 +174,20 @@ def matched(a: Tree, b: Tree) -> list[int]:
 
 
 def votes(nodes: DataFrame, peers: int = PEERS) -> DataFrame:
-    """(source_id, sig, seen, matches): in how many fragments a node stands, and how often it matched in an alignment."""
+    """(source_id, sig, seen, matches, items): in how many fragments a node stands, how often it matched in an alignment, and in how many
+    fragments it is a list item or a heading."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         hits: Counter = Counter()
+        items: Counter = Counter()
         before: list[tuple[str | None, Tree]] = []
 
         def out() -> pd.DataFrame:
-            rows = [(s, x, n, hits[s, x]) for (s, x), n in seen.items()]
-            seen.clear()
-            hits.clear()
-            return pd.DataFrame(rows, columns=["source_id", "sig", "seen", "matches"])
+            rows = [(s, x, n, hits[s, x], items[s, x]) for (s, x), n in seen.items()]
+            for counts in (seen, hits, items):
+                counts.clear()
+            return pd.DataFrame(rows, columns=["source_id", "sig", "seen", "matches", "items"])
 
         for pdf in batches:
             for sid, kinds, sigs in pdf[["source_id", "kind", "sig"]].itertuples(index=False):
@@ -190,6 +196,7 @@ def votes(nodes: DataFrame, peers: int = PEERS) -> DataFrame:
                     if k != ROW:
                         for x in set(leaves) - {-1}:
                             seen[sid, x] += 1
+                            items[sid, x] += k in (ITEM, HEADING)
                 before = [b for b in before if b[0] == sid]
                 for _, other in before:
                     for x in set(matched(tree, other)) - {-1}:
@@ -201,8 +208,8 @@ def votes(nodes: DataFrame, peers: int = PEERS) -> DataFrame:
 
     # A range by source and a hash keeps a source's fragments together but splits a large source over partitions.
     placed = nodes.withColumn("h", F.xxhash64("chunk_id")).repartitionByRange("source_id", "h").sortWithinPartitions("source_id", "h").select("source_id", "kind", "sig")
-    part = placed.mapInPandas(run, "source_id string, sig long, seen long, matches long")
-    return part.groupBy("source_id", "sig").agg(F.sum("seen").alias("seen"), F.sum("matches").alias("matches"))
+    part = placed.mapInPandas(run, "source_id string, sig long, seen long, matches long, items long")
+    return part.groupBy("source_id", "sig").agg(F.sum("seen").alias("seen"), F.sum("matches").alias("matches"), F.sum("items").alias("items"))
 
 
 def surroundings(chunks: DataFrame, downloads: DataFrame) -> DataFrame:
@@ -212,9 +219,9 @@ def surroundings(chunks: DataFrame, downloads: DataFrame) -> DataFrame:
     sources = size.count()
     counted = cut(votes(nodes))
     local = counted.join(broadcast_if_small(size), counted["source_id"].eqNullSafe(size["source_id"])).where(
-        f"matches > 0 and seen >= {LEAST} and seen >= {SHARE} * n"
+        f"(matches > 0 or seen >= {OFTEN} * n) and seen >= if(items > 0, {LEAST + 1}, {LEAST}) and seen >= {SHARE} * n"
     ).select(counted["source_id"], "sig", F.lit(True).alias("local"))
-    least = max(LEAST, SOURCES_SHARE * sources)
+    least = max(LEAST_SOURCES, SOURCES_SHARE * sources)
     segments = nodes.select("source_id", F.explode(F.flatten("segments")).alias("sig")).distinct().groupBy("sig").count().where(f"count >= {least}")
     wide = counted.groupBy("sig").agg(F.count("*").alias("k")).where(f"k >= {least}").select("sig")
     wide = wide.unionByName(segments.select("sig")).distinct().withColumn("wide", F.lit(True))
