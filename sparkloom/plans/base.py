@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import table
+from sparkloom.runtime import cut, is_small, spread, table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk once, as last downloaded. Grouped on the id with a partial maximum, so that repeats never meet in a sort."""
-    t = table(spark, sf_dir, "chunk").where("chunk_id is not null")
-    rest = [c for c in t.columns if c != "chunk_id"]
-    best = t.groupBy("chunk_id").agg(F.max(F.struct("date_downloaded", *[c for c in rest if c != "date_downloaded"])).alias("r"))
-    return best.select("chunk_id", *(F.col(f"r.{c}").alias(c) for c in rest))
+    """Each chunk once, as last downloaded.
+
+    Few chunks come twice: their ids are found by a count of the ids alone, and only their rows are grouped; the others stay where the scan
+    put them. Should the repeated ids be too many to send around, all rows are grouped by id.
+    """
+    t = spread(table(spark, sf_dir, "chunk").where("chunk_id is not null"))
+    rest = [c for c in t.columns if c not in ("chunk_id", "date_downloaded")]
+
+    def last(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("chunk_id").agg(F.max(F.struct("date_downloaded", *rest)).alias("r"))
+        return best.select("chunk_id", *(F.col(f"r.{c}").alias(c) for c in t.columns if c != "chunk_id"))
+
+    again = cut(t.groupBy("chunk_id").count().where("count > 1").select("chunk_id"))
+    if not is_small(again):
+        return last(t)
+    again = F.broadcast(again)
+    once = t.join(again, "chunk_id", "left_anti").select("chunk_id", *(c for c in t.columns if c != "chunk_id"))
+    return once.unionByName(last(t.join(again, "chunk_id", "left_semi")))
 
 
 CHUNKS = "chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY date_downloaded DESC) AS rn FROM chunk) WHERE rn = 1)"

@@ -46,12 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; the count stops behind them."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if its scan has far fewer parts than the session has cores, as one small file has; unchanged on a large table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else without one (Spark then shuffles, and splits skewed keys).
 
     Counts ``df``; give it something already cut or cheap to count. The count stops at ``rows`` + 1.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import citations, fusion, keyed, lexical, segments, terms, vectors
+from sparkloom.plans import base
 from sparkloom.runtime import broadcast_if_small, checkpoint_dir
 from sparkloom.sources import files, html
 from sparkloom.streaming import jobs
@@ -192,3 +193,13 @@ def test_broadcasts_are_checked(spark):
     assert "broadcast" in plan(spark.range(9).join(broadcast_if_small(spark.range(5)), "id")).lower()
     assert "broadcast" not in plan(spark.range(9).join(broadcast_if_small(spark.range(50), rows=10), "id")).lower()
     assert checkpoint_dir(spark)
+
+
+def test_chunks_count_once_either_way(spark, sf_dir, monkeypatch):
+    few = base.chunks(spark, sf_dir)
+    monkeypatch.setattr(base, "is_small", lambda df: False)
+    many = base.chunks(spark, sf_dir)
+    assert few.columns == many.columns and few.count() == many.count() == few.select("chunk_id").distinct().count()
+    assert few.exceptAll(many).isEmpty()
+    dates = spark.read.parquet(f"{sf_dir}/chunk.parquet").groupBy("chunk_id").agg(F.max("date_downloaded").alias("latest"))
+    assert few.join(dates, "chunk_id").where("date_downloaded != latest").isEmpty()
