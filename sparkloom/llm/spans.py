@@ -27,6 +27,8 @@ MIN_CHARS = 250
 UNIT = 110
 #: Characters hashed at once.
 BLOCK = 500_000
+#: Units that stand more often than this are taken apart into all windows of ``min_chars`` characters around them.
+HOT = 200
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -46,6 +48,20 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.array(picked, np.int64))
 
 
+def _window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``size`` characters."""
+    n = len(codes)
+    up, down = powers(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
 def _units(text: str, min_chars: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
     """Digests and positions of a text's units; very long texts go block by block, with overlap."""
     w = min_chars - unit + 1
@@ -53,15 +69,7 @@ def _units(text: str, min_chars: int, unit: int) -> tuple[np.ndarray, np.ndarray
     for at in range(0, max(1, len(text) - min_chars + 1), BLOCK):
         part = text[at : at + BLOCK + min_chars - 1]
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(codes)
-        up, down = powers(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            h = (sums[unit:] - sums[:-unit]) * down[: n - unit + 1]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
+        h = _window_hashes(codes, unit).view(np.uint64)
         p = _least(h, w)
         digests.append(h[p])
         places.append(p + at)
@@ -91,6 +99,31 @@ def units(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS,
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "digest long, id long, at long")
 
 
+def windows_around(places: DataFrame, docs: DataFrame, min_chars: int, unit: int) -> DataFrame:
+    """(digest, id, at): all windows of ``min_chars`` characters that hold one of the units at ``places`` (id, at)."""
+    per = places.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 100):
+                out_d, out_i, out_p = [], [], []
+                for i, ats, t in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    begins = [(max(0, a - (min_chars - unit)), min(a, len(t) - min_chars)) for a in ats]
+                    at = -1
+                    for lo, hi in begins:
+                        lo = max(lo, at + 1)
+                        if lo <= hi:
+                            codes = np.frombuffer(t[lo : hi + min_chars].encode("utf-32-le", "surrogatepass"), np.uint32)
+                            out_d.append(_window_hashes(codes, min_chars))
+                            out_p.append(np.arange(lo, hi + 1))
+                            out_i.append(np.full(hi + 1 - lo, i, np.int64))
+                            at = hi
+                if out_d:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_d, out_i, out_p)], names=["digest", "id", "at"])
+
+    return per.join(docs, "id").select("id", "ats", "t").mapInArrow(run, "digest long, id long, at long")
+
+
 def classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, rep): each long enough document and the least id among the documents of the same text (equal SHA-256 of the text)."""
     keyed = df.where(F.length(text_col) >= min_chars).select(F.col(id_col).cast("long").alias("id"), F.sha2(text_col, 256).alias("h"))
@@ -99,7 +132,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     return keyed.join(first.where("n > 1").drop("n"), "h").select("id", "rep")
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Spans shared by different texts, and the classes of equal texts.
 
     Returns (a, b, at_a, at_b, length), a < b representatives, each a longest common run of at least ``min_chars`` characters on one
@@ -109,15 +142,23 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
     docs = df.where(F.length(text_col) >= min_chars).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     copies = broadcast_if_small(same.where("id != rep").select("id"))
     single = docs.join(copies, "id", "left_anti")
-    found = units(single, "id", "t", min_chars, unit)
-    x, y = (found.select("digest", F.col("id").alias(i), F.col("at").alias(f"at_{i}")) for i in "ab")
-    # One line for each alignment of two texts: where its units begin and end in a. The join is on the digest; AQE splits hot ones.
-    pairs = (
-        x.join(y, "digest")
-        .where("a < b")
-        .groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("d"))
-        .agg(F.min("at_a").alias("first"), F.max("at_a").alias("last"))
-    )
+    found = cut(units(single, "id", "t", min_chars, unit))
+
+    def aligned(u: DataFrame, size: int) -> DataFrame:
+        """One line for each alignment of two texts: where its units begin and end in a. The join is on the digest; AQE splits hot ones."""
+        x, y = (u.select("digest", F.col("id").alias(i), F.col("at").alias(f"at_{i}")) for i in "ab")
+        lines = x.join(y, "digest").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("d"))
+        return lines.agg(F.min("at_a").alias("first"), (F.max("at_a") + size - unit).alias("last"))
+
+    # A unit of a notice that stands in very many texts would pair them all, though they share no span long enough. Such units are taken
+    # apart into all their possible windows of full length: then only texts that do share a span meet.
+    hot = cut(found.groupBy("digest").count().where(F.col("count") > hot_units).select("digest"))
+    if hot.isEmpty():
+        pairs = aligned(found, unit)
+    else:
+        few = broadcast_if_small(hot)
+        whole = windows_around(found.join(few, "digest", "left_semi").select("id", "at"), single, min_chars, unit)
+        pairs = aligned(found.join(few, "digest", "left_anti"), unit).unionByName(aligned(whole, min_chars)).groupBy("a", "b", "d").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     pairs = cut(pairs)
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = cut(single.join(broadcast_if_small(cut(need)), "id", "left_semi"))
@@ -146,12 +187,12 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
     return with_b.mapInPandas(run, "a long, b long, at_a long, at_b long, length long"), same
 
 
-def pairs_found(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT) -> DataFrame:
+def pairs_found(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: each pair of records that share a span of at least ``min_chars`` characters.
 
     Pairs of representatives are expanded by membership in both classes; each class gives its own pairs.
     """
-    spans, same = shared_spans(df, id_col, text_col, min_chars, unit)
+    spans, same = shared_spans(df, id_col, text_col, min_chars, unit, hot_units)
     reps = cut(spans.select("a", "b").distinct())
     touched = reps.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     of = same.select("rep", "id").unionByName(touched.join(same.select("rep").distinct(), "rep", "left_anti").select("rep", F.col("rep").alias("id")))

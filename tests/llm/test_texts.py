@@ -87,6 +87,8 @@ def test_shared_spans_of_random_and_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("rep", F.lit(1))
     got = {(r[0], r[1]) for r in spans.pairs_found(df, "doc_id", "text", 40, 16).collect()}
     assert got == brute_pairs(rows, 40)
+    # With units taken apart as soon as they stand three times.
+    assert {(r[0], r[1]) for r in spans.pairs_found(df, "doc_id", "text", 40, 16, hot_units=2).collect()} == got
     share = {r.doc_id: r for r in spans.shared_share(df, "doc_id", "text", 40, 16).collect()}
     assert share[64].rep == 0 and share[64].shared == 1.0 and share[60].shared_chars == 0 and len(share) == len(rows)
     for i, t in rows[:60]:
