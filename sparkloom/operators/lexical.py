@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.runtime import broadcast_if_small
+from sparkloom.runtime import broadcast_if_small, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries scored at once by ``search``; their terms and weights are what is sent to the partitions.
@@ -31,8 +31,8 @@ def collection_stats(docs: DataFrame) -> DataFrame:
 
 def inverse_frequencies(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf) of the whole vocabulary; a negative idf becomes EPSILON times the mean idf."""
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    # One row on the right: broadcast.
+    df = cut(docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    # The vocabulary is read for the mean and again for the weights: written once. One row on the right: broadcast.
     raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
