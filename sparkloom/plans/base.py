@@ -29,6 +29,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(last(t.join(again, "chunk_id", "left_semi")))
 
 
+def in_ranges(c: DataFrame, parts: int | None = None) -> DataFrame:
+    """``c`` with ``block``: ranges of (source, chunk id) in string order, so that blocks and the rows in them have one order.
+
+    The ranges are cut by a sample of the ids, so a large source spans many blocks. Written once, as another sample would cut otherwise.
+    """
+    by = ("source_id", "chunk_id")
+    return cut((c.repartitionByRange(parts, *by) if parts else c.repartitionByRange(*by)).withColumn("block", F.spark_partition_id()))
+
+
 CHUNKS = "chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY date_downloaded DESC) AS rn FROM chunk) WHERE rn = 1)"
 
 

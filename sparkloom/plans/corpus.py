@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import segments
-from sparkloom.plans.base import CHUNKS, chunks
+from sparkloom.plans.base import CHUNKS, chunks, in_ranges
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import broadcast_if_small, table
 
@@ -225,19 +225,24 @@ def agg22(spark, d):
     return t.groupBy("source_id").agg(F.count_distinct("no").alias("standards"), F.bool_or(F.col("no") == "65018").alias("names_65018"))
 
 
-def ordinals(c: DataFrame, block: int = 256) -> DataFrame:
-    """``ordinal`` of each chunk in its source by chunk id, counted in blocks of the ids' numbers, then over the blocks."""
-    b = c.withColumn("block", F.floor(F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long") / block))
+def ordinals(c: DataFrame, parts: int | None = None) -> DataFrame:
+    """``ordinal`` of each chunk in its source by chunk id, counted in ranges of the ids, then over the ranges."""
+    b = in_ranges(c, parts)
     inside = Window.partitionBy("source_id", "block").orderBy("chunk_id")
     n = b.groupBy("source_id", "block").agg(F.count("*").alias("n"))
     before = n.select("source_id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return b.withColumn("k", F.row_number().over(inside)).join(before, ["source_id", "block"]).withColumn("ordinal", F.col("before") + F.col("k") - 1).drop("k", "before", "block")
 
 
+def new_ids(c: DataFrame) -> DataFrame:
+    number = F.col("ordinal").cast("string")
+    return c.select("chunk_id", F.concat("source_id", F.lit("::"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("new_id"))
+
+
 @q("win2_ordinal_ids", f"WITH {CHUNKS} SELECT chunk_id, source_id || '::' || lpad(CAST(row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) - 1 AS VARCHAR), 4, '0') AS new_id FROM chunks")
 def win2(spark, d):
-    c = ordinals(chunks(spark, d).select("chunk_id", "source_id"))
-    return c.select("chunk_id", F.concat("source_id", F.lit("::"), F.lpad(F.col("ordinal").cast("string"), 4, "0")).alias("new_id"))
+    """Four digits at least; larger ordinals keep all of theirs, where the lpad of the SQL cuts them."""
+    return new_ids(ordinals(chunks(spark, d).select("chunk_id", "source_id")))
 
 
 @q("win11_first_middle_last", f"WITH {CHUNKS}, r AS (SELECT source_id, chunk_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS k, count(*) OVER (PARTITION BY source_id) AS n FROM chunks) SELECT source_id, chunk_id, k FROM r WHERE k IN (1, n // 2 + 1, n)")

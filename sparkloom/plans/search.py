@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import fusion, lexical, vectors
-from sparkloom.plans.base import ASKED, CHUNKS, asked, chunks
+from sparkloom.plans.base import ASKED, CHUNKS, asked, chunks, in_ranges
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.scalars import SQL_EMBED, SQL_TOKENS
 from sparkloom.runtime import cut, table
@@ -147,15 +147,17 @@ def win8(spark, d):
 
 
 def neighbours(spark, d) -> DataFrame:
-    """(chunk_id, previous, next) within a source by chunk id.
+    """(chunk_id, source_id, previous, next) within a source by chunk id."""
+    return beside(chunks(spark, d).select("chunk_id", "source_id"))
 
-    A source may hold a large share of all chunks, so no window runs over a source: ids end in their number, and a chunk's neighbours are the
-    nearest numbers present, looked up by equality on (source, number); gaps are bridged by blocks' edges.
-    """
-    c = chunks(spark, d).select("chunk_id", "source_id").withColumn("no", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long")).withColumn("block", F.floor(F.col("no") / 256))
+
+def beside(c: DataFrame, parts: int | None = None) -> DataFrame:
+    """Neighbours of (chunk_id, source_id). A source may hold a large share of all chunks, so windows run over ranges of the ids; where a
+    range ends, its edge comes from the source's next range."""
+    b = in_ranges(c, parts)
     w = Window.partitionBy("source_id", "block").orderBy("chunk_id")
-    inner = c.withColumn("p", F.lag("chunk_id").over(w)).withColumn("n", F.lead("chunk_id").over(w))
-    ends = c.groupBy("source_id", "block").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+    inner = b.withColumn("p", F.lag("chunk_id").over(w)).withColumn("n", F.lead("chunk_id").over(w))
+    ends = b.groupBy("source_id", "block").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
     v = Window.partitionBy("source_id").orderBy("block")
     ends = ends.select("source_id", "block", F.lag("last").over(v).alias("before"), F.lead("first").over(v).alias("after"))
     return inner.join(ends, ["source_id", "block"]).select("chunk_id", "source_id", F.coalesce("p", "before").alias("previous"), F.coalesce("n", "after").alias("next"))
