@@ -12,6 +12,8 @@ from sparkloom.runtime import broadcast_if_small, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
+#: Ids in one list.
+LIST = 256
 
 
 @q("src1_chunk_scan", f"WITH {CHUNKS} SELECT chunk_id, source_id, title, page, CAST(length(text) AS BIGINT) AS n_chars FROM chunks")
@@ -245,6 +247,13 @@ def win2(spark, d):
     return new_ids(ordinals(chunks(spark, d).select("chunk_id", "source_id")))
 
 
+@q("agg2_ordered_id_blocks", f"WITH {CHUNKS}, r AS (SELECT source_id, chunk_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) - 1 AS ordinal FROM chunks) SELECT source_id, CAST(ordinal // {LIST} AS BIGINT) AS block, string_agg(chunk_id, ' ' ORDER BY chunk_id) AS ids FROM r GROUP BY ALL")
+def agg2_blocks(spark, d):
+    """All sources' ids in order, the largest source's too: one list for each ``LIST`` ordinals, so that no source is gathered."""
+    c = ordinals(chunks(spark, d).select("chunk_id", "source_id")).withColumn("block", F.expr(f"ordinal div {LIST}"))
+    return c.groupBy("source_id", "block").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), " ").alias("ids"))
+
+
 @q("win11_first_middle_last", f"WITH {CHUNKS}, r AS (SELECT source_id, chunk_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS k, count(*) OVER (PARTITION BY source_id) AS n FROM chunks) SELECT source_id, chunk_id, k FROM r WHERE k IN (1, n // 2 + 1, n)")
 def win11(spark, d):
     c = ordinals(chunks(spark, d).select("chunk_id", "source_id")).withColumn("k", F.col("ordinal") + 1)

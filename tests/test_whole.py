@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus, search
+from collections import defaultdict
+
+from sparkloom.plans import base, catalogue, corpus, search
+
+QUERIES = catalogue.REGISTRY.queries
 
 
 def test_ordinals_of_five_digits(spark):
@@ -15,3 +19,13 @@ def test_ordinals_of_five_digits(spark):
     assert {r.chunk_id: r.new_id for r in got} == want and len({r.new_id for r in got}) == len(ids)
     beside = {r.chunk_id: (r.previous, r.next) for r in search.beside(c, 7).collect()}
     assert beside == {x: (p, n) for x, p, n in zip(of_a, [None, *of_a], [*of_a[1:], None])} | {"b::0001": (None, None)}
+
+
+def test_ordered_ids_of_all_sources(spark, sf_dir):
+    want = defaultdict(list)
+    for r in base.chunks(spark, sf_dir).select("chunk_id", "source_id").collect():
+        want[r.source_id].append(r.chunk_id)
+    got = defaultdict(list)
+    for r in sorted(QUERIES["agg2_ordered_id_blocks"](spark, sf_dir).collect(), key=lambda r: r.block):
+        got[r.source_id] += r.ids.split(" ")
+    assert "conformity_regulations" in got and got == {s: sorted(x) for s, x in want.items()}
