@@ -92,3 +92,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p9_shared")
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@REGISTRY.add("p9_text")
+def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_later(table(spark, sf_dir, "documents"), "doc_id", "text")

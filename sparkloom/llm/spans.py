@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.tokens import powers, slices
@@ -44,8 +44,8 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     picked = []
     ends = np.append(change[1:], len(least)) + w - 1
     for a, b, v in zip(change.tolist(), ends.tolist(), least[change], strict=True):
-        picked.append(a + int(np.argmax(h[a:b] == v)))
-    return np.unique(np.array(picked, np.int64))
+        picked.append(a + np.flatnonzero(h[a:b] == v))
+    return np.unique(np.concatenate(picked))
 
 
 def _window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -132,43 +132,22 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     return keyed.join(first.where("n > 1").drop("n"), "h").select("id", "rep")
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Spans shared by different texts, and the classes of equal texts.
-
-    Returns (a, b, at_a, at_b, length), a < b representatives, each a longest common run of at least ``min_chars`` characters on one
-    alignment, and (id, rep) of the documents that have equal ones.
-    """
+def single_texts(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t) of one document of each class of equal texts that are long enough, and (id, rep) of the documents that have equal ones."""
     same = cut(classes(df, id_col, text_col, min_chars))
     docs = df.where(F.length(text_col) >= min_chars).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    copies = broadcast_if_small(same.where("id != rep").select("id"))
-    single = docs.join(copies, "id", "left_anti")
-    found = cut(units(single, "id", "t", min_chars, unit))
+    return docs.join(broadcast_if_small(same.where("id != rep").select("id")), "id", "left_anti"), same
 
-    def aligned(u: DataFrame, size: int) -> DataFrame:
-        """One line for each alignment of two texts: where its units begin and end in a. The join is on the digest; AQE splits hot ones."""
-        x, y = (u.select("digest", F.col("id").alias(i), F.col("at").alias(f"at_{i}")) for i in "ab")
-        lines = x.join(y, "digest").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("d"))
-        return lines.agg(F.min("at_a").alias("first"), (F.max("at_a") + size - unit).alias("last"))
 
-    # A unit of a notice that stands in very many texts would pair them all, though they share no span long enough. Such units are taken
-    # apart into all their possible windows of full length: then only texts that do share a span meet.
-    hot = cut(found.groupBy("digest").count().where(F.col("count") > hot_units).select("digest"))
-    if hot.isEmpty():
-        pairs = aligned(found, unit)
-    else:
-        few = broadcast_if_small(hot)
-        whole = windows_around(found.join(few, "digest", "left_semi").select("id", "at"), single, min_chars, unit)
-        pairs = aligned(found.join(few, "digest", "left_anti"), unit).unionByName(aligned(whole, min_chars)).groupBy("a", "b", "d").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+def confirmed(pairs: DataFrame, texts: DataFrame, min_chars: int) -> DataFrame:
+    """(a, b, at_a, at_b, length): the common runs of at least ``min_chars`` characters within the stretches (a, b, d, start, n), where
+    ``n`` characters from ``start`` in a stand against those from ``start + d`` in b."""
     pairs = cut(pairs)
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(single.join(broadcast_if_small(cut(need)), "id", "left_semi"))
-    # Only the stretch that can belong to a span travels: from before the first unit to behind the last.
-    reach = min_chars - unit
-    begin = F.greatest(F.lit(0), F.col("first") - reach, -F.col("d"))
-    with_a = pairs.join(texts.withColumnRenamed("id", "a"), "a").select(
-        "a", "b", "d", begin.alias("start"), (F.col("last") + unit + reach - begin).alias("n"), F.expr("substring(t, cast(greatest(0, first - %d, -d) + 1 as int), cast(last + %d - greatest(0, first - %d, -d) as int))" % (reach, unit + reach, reach)).alias("ta")
-    )
-    with_b = with_a.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "d", "start", "ta", F.expr("substring(t, cast(start + d + 1 as int), cast(n as int))").alias("tb"))
+    texts = cut(texts.join(broadcast_if_small(cut(need)), "id", "left_semi"))
+    stretch = lambda at: F.expr(f"substring(t, cast({at} + 1 as int), cast(n as int))")
+    with_a = pairs.join(texts.withColumnRenamed("id", "a"), "a").select("a", "b", "d", "start", "n", stretch("start").alias("ta"))
+    with_b = with_a.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "d", "start", "ta", stretch("start + d").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -184,7 +163,41 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
                     rows.append((a, b, p, p + d, int(gap[k])))
             yield pd.DataFrame(rows, columns=["a", "b", "at_a", "at_b", "length"]).astype("int64")
 
-    return with_b.mapInPandas(run, "a long, b long, at_a long, at_b long, length long"), same
+    return with_b.mapInPandas(run, "a long, b long, at_a long, at_b long, length long")
+
+
+def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT, earliest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spans shared by different texts, and the classes of equal texts.
+
+    Returns (a, b, at_a, at_b, length), a < b representatives, each a longest common run of at least ``min_chars`` characters on one
+    alignment, and (id, rep) of the documents that have equal ones. With ``earliest``, spans that hold a hot unit are not given for all
+    pairs but for each record and the earliest occurrence (see ``first_met``), so that rows grow with the text and not with its square.
+    """
+    single, same = single_texts(df, id_col, text_col, min_chars)
+    found = cut(units(single, "id", "t", min_chars, unit))
+
+    def aligned(u: DataFrame, size: int) -> DataFrame:
+        """One line for each alignment of two texts: where its units begin and end in a. The join is on the digest; AQE splits hot ones."""
+        x, y = (u.select("digest", F.col("id").alias(i), F.col("at").alias(f"at_{i}")) for i in "ab")
+        lines = x.join(y, "digest").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("d"))
+        return lines.agg(F.min("at_a").alias("first"), (F.max("at_a") + size - unit).alias("last"))
+
+    # A unit of a notice that stands in very many texts would pair them all, though they share no span long enough. Such units are taken
+    # apart into all their possible windows of full length: then only texts that do share a span meet.
+    hot = cut(found.groupBy("digest").count().where(F.col("count") > hot_units).select("digest"))
+    # Only the stretch that can belong to a span travels: from before the first unit to behind the last.
+    reach = min_chars - unit
+    begin = F.greatest(F.lit(0), F.col("first") - reach, -F.col("d"))
+    stretches = lambda p: p.select("a", "b", "d", begin.alias("start"), (F.col("last") + unit + reach - begin).alias("n"))
+    if hot.isEmpty():
+        return confirmed(stretches(aligned(found, unit)), single, min_chars), same
+    few = broadcast_if_small(hot)
+    whole = windows_around(found.join(few, "digest", "left_semi").select("id", "at"), single, min_chars, unit)
+    cold = aligned(found.join(few, "digest", "left_anti"), unit)
+    if earliest:
+        return confirmed(stretches(cold).unionByName(first_met(cut(whole), min_chars)), single, min_chars), same
+    pairs = cold.unionByName(aligned(whole, min_chars)).groupBy("a", "b", "d").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return confirmed(stretches(pairs), single, min_chars), same
 
 
 def pairs_found(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> DataFrame:
@@ -203,29 +216,58 @@ def pairs_found(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_
     return across.unionByName(within).select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
 
 
-def shared_share(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT) -> DataFrame:
+def first_met(whole: DataFrame, min_chars: int) -> DataFrame:
+    """(a, b, d, start, n): stretches of the windows ``whole`` (digest, id, at) beside their earliest occurrence.
+
+    Every window that stands in several records is met once with the least (id, position) it stands at, never with all its others, so that
+    a passage in k records gives k rows. Rows where a = b are a record's own repeats of a window that other records have too.
+    """
+    first = whole.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("y")).where("f.id != y").select("digest", F.col("f.id").alias("a"), F.col("f.at").alias("at_a"))
+    met = whole.join(first, "digest").where("id != a or at != at_a").select("a", F.col("id").alias("b"), (F.col("at") - F.col("at_a")).alias("d"), "at_a")
+    # Neighbouring windows on one alignment are one stretch.
+    w = Window.partitionBy("a", "b", "d").orderBy("at_a")
+    runs = met.withColumn("g", F.col("at_a") - F.row_number().over(w)).groupBy("a", "b", "d", "g").agg(F.min("at_a").alias("start"), (F.max("at_a") + min_chars - F.min("at_a")).alias("n"))
+    return runs.drop("g")
+
+
+def without_later(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> DataFrame:
+    """(doc_id, text, removed_chars): the texts without the stretches that a record with a lesser id has; null texts stay null.
+
+    Of equal texts only that of the least id stays.
+    """
+    later = shared_share(df, id_col, text_col, min_chars, unit, hot_units).where("repeated_chars > 0").select("doc_id", "later", "repeated_chars")
+    # What is kept lies between one stretch's end and the next one's begin.
+    kept = """array_join(transform(sequence(0, size(later)), i -> substring(t,
+      cast(if(i = 0, 0, later[greatest(i - 1, 0)].end) + 1 as int),
+      cast(if(i = size(later), n, later[least(i, size(later) - 1)].begin) - if(i = 0, 0, later[greatest(i - 1, 0)].end) as int))), '')"""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.length(text_col).alias("n"))
+    return docs.join(later, "doc_id", "left").select("doc_id", F.when(F.col("later").isNull(), F.col("t")).otherwise(F.expr(kept)).alias("text"), F.coalesce("repeated_chars", F.lit(0)).alias("removed_chars"))
+
+
+def shared_share(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, unit: int = UNIT, hot_units: int = HOT) -> DataFrame:
     """For each record: how much of it is shared, the share, what would be removed if the earliest occurrence is kept, and its class.
 
     ``shared_chars`` counts the characters inside spans shared with any other record; ``repeated_chars`` those that some record with a
-    lesser id already has; ``spans`` are the shared stretches as (begin, end), end exclusive, with original offsets; ``rep`` is the least
-    id of the records of the same text. Records that share nothing have 0 and an empty list.
+    lesser id already has; ``spans`` are the shared stretches as (begin, end), end exclusive, with original offsets, and ``later`` those of
+    them to remove if the earliest occurrence is kept; ``rep`` is the least id of the records of the same text. Records that share nothing have 0 and an empty list.
     """
-    spans, same = shared_spans(df, id_col, text_col, min_chars, unit)
+    spans, same = shared_spans(df, id_col, text_col, min_chars, unit, hot_units, earliest=True)
     spans = cut(spans)
     ends = spans.select(F.col("a").alias("rep"), F.col("at_a").alias("s"), (F.col("at_a") + F.col("length")).alias("e"), F.lit(0).alias("later")).unionByName(
-        spans.select(F.col("b").alias("rep"), F.col("at_b").alias("s"), (F.col("at_b") + F.col("length")).alias("e"), F.lit(1).alias("later"))
+        spans.select(F.col("b").alias("rep"), F.col("at_b").alias("s"), (F.col("at_b") + F.col("length")).alias("e"), F.when(F.col("a") != F.col("b"), 1).otherwise(0).alias("later"))
     )
     # Merging intervals: the edges of all spans of a record, summed by place (partial sums first), give its cover.
     edges = ends.select("rep", F.explode(F.expr("array(struct(s as p, 1 as c, later as l), struct(e as p, -1 as c, -later as l))")).alias("x")).groupBy("rep", F.col("x.p").alias("p")).agg(F.sum("x.c").alias("c"), F.sum("x.l").alias("l"))
     merged = edges.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("p", "c", "l"))).alias("edges"))
-    scan = """aggregate(edges, named_struct('n', 0L, 'm', 0L, 'at', 0L, 'open', 0L, 'lopen', 0L, 'begin', 0L, 'out', cast(array() as array<struct<begin:bigint,end:bigint>>)),
+    scan = """aggregate(edges, named_struct('n', 0L, 'm', 0L, 'at', 0L, 'open', 0L, 'lopen', 0L, 'begin', 0L, 'lbegin', 0L, 'out', cast(array() as array<struct<begin:bigint,end:bigint>>), 'lout', cast(array() as array<struct<begin:bigint,end:bigint>>)),
       (acc, x) -> named_struct(
         'n', acc.n + if(acc.open > 0, x.p - acc.at, 0L),
         'm', acc.m + if(acc.lopen > 0, x.p - acc.at, 0L),
         'at', x.p, 'open', acc.open + x.c, 'lopen', acc.lopen + x.l,
-        'begin', if(acc.open = 0, x.p, acc.begin),
-        'out', if(acc.open > 0 and acc.open + x.c = 0, concat(acc.out, array(named_struct('begin', acc.begin, 'end', x.p))), acc.out)))"""
-    cover = merged.select("rep", F.expr(scan).alias("z")).select("rep", F.col("z.n").alias("n"), F.col("z.m").alias("m"), F.col("z.out").alias("out"))
+        'begin', if(acc.open = 0, x.p, acc.begin), 'lbegin', if(acc.lopen = 0, x.p, acc.lbegin),
+        'out', if(acc.open > 0 and acc.open + x.c = 0, concat(acc.out, array(named_struct('begin', acc.begin, 'end', x.p))), acc.out),
+        'lout', if(acc.lopen > 0 and acc.lopen + x.l = 0, concat(acc.lout, array(named_struct('begin', acc.lbegin, 'end', x.p))), acc.lout)))"""
+    cover = merged.select("rep", F.expr(scan).alias("z")).select("rep", F.col("z.n").alias("n"), F.col("z.m").alias("m"), F.col("z.out").alias("out"), F.col("z.lout").alias("lout"))
     all_docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
     return (
         all_docs.join(same.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -239,6 +281,7 @@ def shared_share(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
             F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("n", F.lit(0))).alias("shared_chars"),
             F.when(F.col("copied") & (F.col("rep") != F.col("doc_id")), F.col("n_chars")).otherwise(F.coalesce("m", F.lit(0))).alias("repeated_chars"),
             F.when(F.col("copied"), F.expr("array(named_struct('begin', 0L, 'end', n_chars))")).otherwise(F.coalesce("out", F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"))).alias("spans"),
+            F.when(F.col("copied") & (F.col("rep") != F.col("doc_id")), F.expr("array(named_struct('begin', 0L, 'end', n_chars))")).otherwise(F.coalesce("lout", F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"))).alias("later"),
         )
         .withColumn("shared", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))
     )
