@@ -54,6 +54,16 @@ def snk4(spark, d):
     return spark.read.parquet(files.current(spark, root)).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@q("snk4_published_whole", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def snk4_whole(spark, d):
+    """An older state published first, then the whole table, then an empty one, which isn't published; the reader sees all rows."""
+    root = folder(spark)
+    e = table(spark, d, "embeddings")
+    for state in (e.where("vec_id % 2 = 0"), e, e.where("false")):
+        files.publish(state, root)
+    return spark.read.parquet(files.current(spark, root)).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @q("snk3_bm25_index", f"WITH {CHUNKS}, t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE text IS NOT NULL) SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, count(*) AS tf FROM t GROUP BY ALL) GROUP BY term")
 def snk3(spark, d):
     """Postings written partitioned for look-ups by term, and read again."""

@@ -147,15 +147,26 @@ def str21(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws(" | ", "p_name", "p_brand", F.nullif(F.col("p_type"), F.lit("ECONOMY")), F.concat(F.lit("Size: "), F.col("p_size").cast("string"))).alias("row_text"))
 
 
-@q("str18_header_suffixes", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part WHERE p_partkey % 100 < 10) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 100) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 100 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
-def str18(spark, d):
-    """Column names made unique within a group of ten columns each."""
-    h = table(spark, d, "part").where("p_partkey % 100 < 10").select("p_partkey", F.floor(F.col("p_partkey") / 100).alias("g"), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_").alias("name"))
+def unique_headers(part: DataFrame, keys: int) -> DataFrame:
+    """(p_partkey, header): names that stand more than once in a group of ``keys`` part keys are numbered."""
+    h = part.select("p_partkey", F.floor(F.col("p_partkey") / keys).alias("g"), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_").alias("name"))
     w = Window.partitionBy("name", "g")
     n, k = F.count("*").over(w), F.row_number().over(w.orderBy("p_partkey"))
     return h.select("p_partkey", F.when(n > 1, F.concat("name", F.lit("_"), k.cast("string"))).otherwise(F.col("name")).alias("header"))
 
 
+@q("str18_header_suffixes", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part WHERE p_partkey % 100 < 10) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 100) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 100 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
+def str18(spark, d):
+    """Column names made unique within a group of ten columns each."""
+    return unique_headers(table(spark, d, "part").where("p_partkey % 100 < 10"), 100)
+
+
+@q("str18_headers_of_all_parts", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 10) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 10 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
+def str18_all(spark, d):
+    """Column names made unique within groups of ten columns, over all parts."""
+    return unique_headers(table(spark, d, "part"), 10)
+
+
 @q("joi18_scanned_chunks", f"WITH {CHUNKS}, p AS (SELECT DISTINCT source_id, unnest(ocr_pages) AS page FROM parsed) SELECT chunk_id FROM chunks JOIN p USING (source_id, page)")
 def joi18(spark, d):
     """A look-up by two columns."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+from sparkloom import runtime
 from sparkloom.llm import spans
 from sparkloom.plans import base, catalogue, corpus, search
 
@@ -60,3 +61,10 @@ def test_later_stretches_are_removed_and_hot_passages_make_no_pairs(spark):
             assert covered(share[i].spans) == shared and covered(share[i].later) == later, i
             assert (share[i].shared_chars, share[i].repeated_chars) == (len(shared), len(later))
             assert (kept[i][0] or "") == "".join(c for p, c in enumerate(t) if p not in later)
+
+
+def test_all_parts_and_all_vectors_are_reported(spark, sf_dir):
+    part = runtime.table(spark, sf_dir, "part").select("p_partkey").collect()
+    assert sorted(QUERIES["str18_headers_of_all_parts"](spark, sf_dir).select("p_partkey").collect()) == sorted(part)
+    total = sum(r.n for r in QUERIES["snk4_published_whole"](spark, sf_dir).collect())
+    assert total == runtime.table(spark, sf_dir, "embeddings").count()
