@@ -105,6 +105,23 @@ def src6(spark, d):
     return html.pages(c.select("chunk_id", page.alias("html")), "chunk_id", "html").select("url", "text")
 
 
+#: What Python's str.split takes for white space within a line.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@q(
+    "src6_main_text_of_whole_pages",
+    f"WITH {CHUNKS}, l AS (SELECT chunk_id, [trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ') FOR x IN string_split(text, chr(10))] AS lines FROM chunks WHERE page IS NULL AND text IS NOT NULL) SELECT chunk_id AS url, array_to_string([x FOR x IN lines IF x <> ''], chr(10)) AS text FROM l",
+)
+def src6_whole(spark, d):
+    """Pages of the whole texts of web chunks, a paragraph for each line, in all scripts and with marks escaped, read again."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    page = F.concat(F.lit("<html><body><nav><a href='/x'>Menu of this site</a></nav><main>"), body, F.lit("</main><footer>All rights reserved by the site, as always.</footer></body></html>"))
+    c = chunks(spark, d).where("page is null and text is not null")
+    return html.pages(c.select("chunk_id", page.alias("html")), "chunk_id", "html").select("url", "text")
+
+
 @q(
     "stream_windowed_counts",
     """WITH e AS (SELECT to_timestamp(floor(epoch(ts) / 600) * 600) AS w, event_type, value FROM events WHERE ts IS NOT NULL), m AS (SELECT epoch(max(ts)) - 600 AS mark FROM events)

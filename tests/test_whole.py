@@ -68,3 +68,11 @@ def test_all_parts_and_all_vectors_are_reported(spark, sf_dir):
     assert sorted(QUERIES["str18_headers_of_all_parts"](spark, sf_dir).select("p_partkey").collect()) == sorted(part)
     total = sum(r.n for r in QUERIES["snk4_published_whole"](spark, sf_dir).collect())
     assert total == runtime.table(spark, sf_dir, "embeddings").count()
+
+
+def test_whole_pages_are_read(spark, sf_dir):
+    """Every web chunk with a text, with all its lines, whatever its script or marks."""
+    got = {r.url: r.text for r in QUERIES["src6_main_text_of_whole_pages"](spark, sf_dir).collect()}
+    pages = {r.chunk_id: r.text for r in base.chunks(spark, sf_dir).where("page is null and text is not null").collect()}
+    tidy = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in t.split("\n")) if x)
+    assert got == {k: tidy(t) for k, t in pages.items()} and any("<" in t or ">" in t for t in got.values()) and any(not t.isascii() for t in got.values())
