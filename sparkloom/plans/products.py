@@ -61,14 +61,24 @@ def joi4(spark, d):
 def joi5(spark, d):
     """Names contained in questions at word borders, with a plural ending at most.
 
-    No nested loop: names and the questions' runs of up to four words meet in an equi-join on their words; the exact test follows.
+    No nested loop, see ``named_in``.
+    """
+    names = products(spark, d).where("length(name) >= 4").select(F.lower("name").alias("name")).distinct()
+    return named_in(results(spark, d).where("question is not null").select("id", "question"), names)
+
+
+def named_in(asks: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name) of names contained in the questions of ``asks`` (id, question).
+
+    A name's first two words and a question's runs of one and two words meet in an equi-join; the exact test of the whole name follows, so
+    names may have any length. Names without such words meet all questions.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    names = products(spark, d).where("length(name) >= 4").select(F.lower("name").alias("name")).distinct().withColumn("key", F.array_join(words(F.col("name")), " "))
-    asks = results(spark, d).where("question is not null").select("id", F.lower("question").alias("said"), words(F.col("question")).alias("w")).where("size(w) > 0")
-    runs = asks.select("id", "said", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select("id", "said", F.explode(F.expr("transform(sequence(1, least(5, size(w) - i + 1)), n -> array_join(slice(w, i, n), ' '))")).alias("run"))
+    keyed_names = names.withColumn("key", F.array_join(F.slice(words(F.col("name")), 1, 2), " "))
+    said = asks.select("id", F.lower("question").alias("said"), words(F.col("question")).alias("w"))
+    runs = said.select("id", "said", F.explode(F.expr("concat(array(''), w, transform(w, (x, i) -> concat(x, ' ', coalesce(get(w, i + 1), ''))))")).alias("run"))
     keyed = runs.select("id", "said", F.explode(F.array_distinct(F.array("run", F.regexp_replace("run", "s$", ""), F.regexp_replace("run", "es$", "")))).alias("key")).distinct()
-    hit = keyed.join(names, "key")
+    hit = keyed.join(keyed_names, "key")
     inside = F.expr("regexp_like(concat(' ', said, ' '), concat('[^a-z0-9]', replace(name, '-', '\\\\-'), '(?:s|es)?[^a-z0-9]'))")
     return hit.where(inside).select("id", "name").distinct()
 

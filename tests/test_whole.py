@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from sparkloom import runtime
 from sparkloom.llm import spans
-from sparkloom.plans import base, catalogue, corpus, search
+from sparkloom.plans import base, catalogue, corpus, products, search
 
 QUERIES = catalogue.REGISTRY.queries
 
@@ -70,6 +70,13 @@ def test_all_parts_and_all_vectors_are_reported(spark, sf_dir):
     assert total == runtime.table(spark, sf_dir, "embeddings").count()
 
 
+def test_names_of_any_length_are_found(spark):
+    names = ["cast iron pressure cooker with glass lid", "steel switch", "hinge", "\u0915\u0916\u0917\u0918"]
+    asks = [(1, "Is a Cast iron pressure cooker with glass lids covered?"), (2, "Which steel switches and hinges?"), (3, "On \u0915\u0916\u0917\u0918 ?"), (4, "cast iron pressure cooker"), (5, "")]
+    got = products.named_in(spark.createDataFrame(asks, "id int, question string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(map(tuple, got.collect())) == [(1, names[0]), (2, names[2]), (2, names[1]), (3, names[3])]
+
+
 def test_whole_pages_are_read(spark, sf_dir):
     """Every web chunk with a text, with all its lines, whatever its script or marks."""
     got = {r.url: r.text for r in QUERIES["src6_main_text_of_whole_pages"](spark, sf_dir).collect()}
