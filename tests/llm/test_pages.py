@@ -138,14 +138,59 @@ def test_conversations_of_odd_turns(spark):
     assert conversations.left_out(df.limit(0)).count() == 0 and conversations.conversations(df.limit(0)).count() == 0
 
 
-def test_a_reply_goes_to_the_turn_it_mentions(spark):
-    now = datetime(2025, 1, 1)
-    rows = [("s", 1, "user", "What does IS 111 say of lamps?", now), ("s", 2, "user", "And does IS 222 cover ropes?", now), ("s", 3, "assistant", "IS 222 covers ropes of steel.", now)]
-    once = conversations.turns_once(spark.createDataFrame(rows, "session_id string, turn_no int, role string, text string, created_at timestamp"))
+TURN = "session_id string, turn_no int, role string, text string, created_at timestamp"
+
+
+def test_interleaved_talks_part_into_trees(spark):
+    """Two users ask in turn; each answer goes to the question it mentions, which isn't the turn before."""
+    now, rows, n = datetime(2025, 1, 1), [], 0
+    for k in range(3):
+        a, b = 111 + k, 222 + k
+        for role, text in (
+            ("user", f"What does IS {a} say of lamps and their holders?"),
+            ("user", f"Does IS {b} cover ropes made of steel wire?"),
+            ("assistant", f"IS {a} says of lamps that their holders are marked."),
+            ("assistant", f"IS {b} covers ropes of steel wire."),
+        ):
+            n += 1
+            rows.append(("s", n, role, text, now + timedelta(hours=k, minutes=n)))
+    once = conversations.turns_once(spark.createDataFrame(rows, TURN))
     links = {r.place: r.parent for r in conversations.reply_links(conversations.placed(once)).collect()}
+    assert [links[p] for p in (3, 4, 7, 8, 11, 12)] == [1, 2, 5, 6, 9, 10]
+    # Questions of their own open trees.
+    assert all(links[p] is None for p in (2, 5, 6, 9, 10))
+    # Without mentions and overlap the answers would go elsewhere.
+    blind = conversations.WEIGHTS | {"mention": 0.0, "overlap": 0.0}
+    links = {r.place: r.parent for r in conversations.reply_links(conversations.placed(once), weights=blind).collect()}
     assert links[3] == 2
 
 
+def test_a_reply_far_behind_its_question_finds_it(spark):
+    now = datetime(2025, 1, 1)
+    rows = [("s", 1, "user", "What is the fee for galvanised buckets under IS 4711?", now)]
+    for k in range(150):
+        rows += [("s", 2 * k + 2, "user", f"How wide is item {k:c}?", now + timedelta(minutes=k)), ("s", 2 * k + 3, "assistant", "It is so.", now + timedelta(minutes=k))] if k else [("s", 2, "assistant", "One moment.", now), ("s", 3, "user", "Thanks.", now)]
+    rows = [(s, n, r, t, c) for n, (s, _, r, t, c) in enumerate(rows, 1)]
+    rows.append(("s", len(rows) + 1, "assistant", "The fee for galvanised buckets under IS 4711 is Rs. 100.", now))
+    turns = spark.createDataFrame(rows, TURN)
+    links = {r.place: (r.parent, r.before) for r in conversations.reply_links(conversations.placed(conversations.turns_once(turns))).collect()}
+    assert links[len(rows)] == (1, "assistant")
+
+
+def test_sessions_are_judged_by_the_chosen_links(spark):
+    """Two answers in a row, the second to an earlier question: the link jumps, and the exact check says what stands before."""
+    now = datetime(2025, 1, 1)
+    talk = lambda s, *turns: [(s, n, r, t, now + timedelta(minutes=n)) for n, (r, t) in enumerate(turns, 1)]
+    rows = talk("straight", ("user", "IS 1?"), ("assistant", "IS 1."), ("user", "IS 2?"), ("assistant", "IS 2."))
+    rows += talk("crossed", ("user", "IS 111 for lamps?"), ("user", "IS 222 for ropes?"), ("assistant", "Lamps: IS 111."), ("assistant", "Ropes: IS 222."))
+    rows += talk("late", ("user", "IS 111 for lamps with holders?"), ("assistant", "Wait."), ("user", "Hm?"), ("assistant", "IS 111 for lamps with holders it is."))
+    turns = spark.createDataFrame(rows, TURN)
+    assert {r.session_id: r.reason for r in conversations.left_out(turns).collect()} == {"crossed": "broken"}
+    # Without scores no link is likely enough, and no assistant follows anyone.
+    none = dict.fromkeys(conversations.WEIGHTS, 0.0)
+    assert {r.session_id: r.reason for r in conversations.left_out(turns, weights=none).collect()} == dict.fromkeys(["straight", "crossed", "late"], "broken")
+
+
 CASES = [
     ("Is the mark compulsory for lamps?", "", False, "empty"),
     ("Is the mark compulsory for lamps?", None, False, "empty"),
