@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast, and bytes a row is taken to need. Their product bounds what a broadcast can hold.
+#: Rows, and bytes of them, up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
-BROADCAST_ROW_BYTES = 200
+BROADCAST_BYTES = 32 << 20
 
 
 def session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -22,7 +22,7 @@ def session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,9 +30,11 @@ def session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is set only where that setting is missing, as in tests."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder of this machine if the whole session runs on it, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -46,9 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; the count stops behind them."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, and these at most ``size`` bytes written out; the count stops behind ``rows``."""
+    if not df.columns:
+        return df.limit(rows + 1).count() <= rows
+    width = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`").cast("string") if t in ("binary", "void") else F.col(f"`{c}`") for c, t in df.dtypes))))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and held <= size
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -57,12 +63,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else without one (Spark then shuffles, and splits skewed keys).
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if ``is_small``, else without one (Spark then shuffles, and splits skewed keys).
 
-    Counts ``df``; give it something already cut or cheap to count. The count stops at ``rows`` + 1.
+    Reads ``df``; give it something already cut or cheap to scan.
     """
-    return F.broadcast(df) if is_small(df, rows) else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
