@@ -15,10 +15,14 @@ from sparkloom.runtime import table
 
 
 def test_tree_matching_pairs_blocks_in_order():
-    a = [(0, [1, 2]), (6, [3, 4, 5]), (6, [9])]
-    b = [(0, [2]), (4, [7]), (6, [3, 5]), (6, [8])]
-    assert pages.matched(a, b) == [2, 3, 5]
-    assert pages.matched(a, [(1, [1])]) == [] and pages.matched([], b) == []
+    tree = lambda blocks: pages.tree_of([k for k, xs in blocks for _ in xs], [x for _, xs in blocks for x in xs])
+    a = tree([(0, [1, 2]), (6, [3, 4, 5]), (3, [7]), (6, [9])])
+    b = tree([(0, [2]), (4, [7]), (6, [3, 5]), (3, [8]), (6, [4])])
+    assert set(pages.aligned(a, b)) == {(0, 2), (6, 3), (6, 5)}
+    # What changed places matches in a later alignment.
+    assert pages.matched(a, b) == {(0, 2), (6, 3), (6, 4), (6, 5)}
+    assert pages.matched(a, tree([(1, [1])])) == set() == pages.matched({}, b)
+    assert pages.aligned(tree([(6, [1, 2, 3, 4])]), tree([(6, [4, 1, 3, 2])])) in ([(6, 1), (6, 2)], [(6, 1), (6, 3)])
 
 
 def test_addresses(spark):
@@ -47,6 +51,8 @@ def test_surroundings_of_pages(spark):
     d = spark.createDataFrame([*saved, (None, None, None, None)], "id string, url string, status string, path string")
     got = {tuple(r) for r in pages.surroundings(c, d).collect()}
     assert got == want
+    # The alignments decide: without them nothing constant is found.
+    assert not {tuple(r) for r in pages.surroundings(c, d, peers=0).collect()} & want
     body = {r.chunk_id: r.text for r in pages.main_bodies(c, d).collect()}
     assert body["e"] == "" and body["m"] == "only\nmain" and "Visitors" not in "".join(body.values()) and "o" not in body
     assert pages.surroundings(c.limit(0), d).count() == 0 and pages.surroundings(c, d.limit(0)).count() == 0
