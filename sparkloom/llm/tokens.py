@@ -2,7 +2,11 @@
 
 Speculate and verify. Within each Arrow batch the texts are cut into words with vectorised character classes, each distinct word is
 proposed as tokens by greedy longest match, every adjacent pair of proposed tokens is tested for compatibility in one vectorised pass, and
-only the words with an incompatible pair are merged exactly. Words repeat, so a worker keeps what it has encoded.
+only the words with an incompatible pair are merged exactly. Words repeat, so a worker keeps what it has encoded. Words are looked up by a
+digest, and every word that is found is compared with the one kept character by character; a slice in which one differs is encoded by its
+words' strings instead.
+
+The vocabulary file is read by the driver and sent to the executors; its size doesn't depend on the data.
 
 Defined results: a null and an empty text have an empty list; the text is otherwise taken as it is, special tokens' strings included.
 """
@@ -27,8 +31,8 @@ BYTE_BPE_50K = "byte_bpe_50k.json"
 
 #: Characters handled at once; bounds a worker's memory whatever the length of the texts.
 SLICE = 600_000
-#: Distinct words a worker keeps encoded before it starts anew.
-KEPT_WORDS = 400_000
+#: Distinct words, and characters of them, that a worker keeps encoded before it starts anew.
+KEPT_WORDS, KEPT_CHARS = 400_000, 8_000_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -67,9 +71,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """Token ids, the merges behind them, and the arrays for the vectorised tests."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, file: bytes):
+        model = json.loads(file)["model"]
         # Byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the code points from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -182,8 +185,13 @@ class Vocabulary:
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(file: bytes) -> Vocabulary:
+    return Vocabulary(file)
+
+
+def vocabulary_file(path: str | None = None, tokenizers: str = TOKENIZERS) -> bytes:
+    with open(path or os.path.join(tokenizers, BYTE_BPE_50K), "rb") as f:
+        return f.read()
 
 
 _SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
@@ -232,8 +240,8 @@ def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; keeps the words it has met."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, file: bytes):
+        self.vocab = vocabulary(file)
         self._forget()
 
     def _forget(self) -> None:
@@ -241,8 +249,12 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        # The kept words' characters, and where each word's begin.
+        self.chars = np.zeros(0, np.uint32)
+        self.char_at = np.zeros(0, np.int64)
+        self.char_n = np.zeros(0, np.int64)
 
-    def _learn(self, digests: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, digests: np.ndarray, words: list[bytes], codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
         coded = self.vocab.encode_words(words)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))
@@ -251,6 +263,11 @@ class Encoder:
         order = np.argsort(known)
         self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
         self.flat = np.concatenate([self.flat, flat])
+        char_at = np.cumsum(length) - length
+        chars = codes[np.repeat(begin - char_at, length) + np.arange(int(length.sum()))]
+        self.char_at = np.concatenate([self.char_at, char_at + len(self.chars)])[order]
+        self.char_n = np.concatenate([self.char_n, length])[order]
+        self.chars = np.concatenate([self.chars, chars])
 
     def _slice(self, texts: list[str], counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of the texts, and all their ids in a row."""
@@ -273,7 +290,7 @@ class Encoder:
             digest = (sums[e] - sums[s]) * down[s]
         del sums
         found, back_at, back = np.unique(digest, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or len(self.chars) > KEPT_CHARS:
             self._forget()
         at = np.searchsorted(self.known, found)
         hit = np.zeros(len(found), bool)
@@ -282,10 +299,14 @@ class Encoder:
         if not hit.all():
             new = np.flatnonzero(~hit)
             where = back_at[new]
-            self._learn(found[new], [joined[i:j].encode("utf-8", "surrogatepass") for i, j in zip(s[where].tolist(), e[where].tolist(), strict=True)])
+            self._learn(found[new], [joined[i:j].encode("utf-8", "surrogatepass") for i, j in zip(s[where].tolist(), e[where].tolist(), strict=True)], codes, s[where], (e - s)[where])
             at = np.searchsorted(self.known, found)
-        size = self.size[at][back]
         text_of = np.searchsorted(offsets, s, side="right") - 1
+        kept = at[back]
+        # Two words may have one digest: each is compared with the word kept under it.
+        if not ((self.char_n[kept] == e - s).all() and (self.chars[np.repeat(self.char_at[kept] - s, e - s) + np.arange(n)] == codes).all()):
+            return self._by_strings(joined, s.tolist(), e.tolist(), text_of, len(texts), counts_only)
+        size = self.size[at][back]
         total = np.bincount(text_of, weights=size, minlength=len(texts)).astype(np.int64)
         if counts_only:
             return total, np.zeros(0, np.int32)
@@ -293,6 +314,14 @@ class Encoder:
         begin = np.repeat(self.at[at][back] - (ends - size), size)
         return total, self.flat[begin + np.arange(ends[-1] if len(ends) else 0)]
 
+    def _by_strings(self, joined: str, begin: list[int], end: list[int], text_of: np.ndarray, n: int, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``_slice`` without digests."""
+        words = [joined[i:j] for i, j in zip(begin, end, strict=True)]
+        once = list(dict.fromkeys(words))
+        ids = dict(zip(once, self.vocab.encode_words([w.encode("utf-8", "surrogatepass") for w in once]), strict=True))
+        total = np.bincount(text_of, weights=[len(ids[w]) for w in words], minlength=n).astype(np.int64)
+        return total, np.zeros(0, np.int32) if counts_only else np.array([i for w in words for i in ids[w]], np.int32)
+
     def encode(self, texts: list[str | None], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of the texts, and all ids in a row (none with ``counts_only``)."""
         counts, flats = np.zeros(len(texts), np.int64), []
@@ -321,11 +350,11 @@ class Encoder:
 
 def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
     """``id_col`` and the column ``ids``, the token ids of ``text_col``. Rows stay in their partitions; nothing is shuffled."""
-    file = path or os.path.join(tokenizers, BYTE_BPE_50K)
+    file = df.sparkSession.sparkContext.broadcast(vocabulary_file(path, tokenizers))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(file)
+        coder = Encoder(file.value)
         for batch in batches:
             for part in slices(batch):
                 counts, flat = coder.encode(part.column(1).to_pylist())
@@ -338,11 +367,11 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, path: str | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, the number of tokens of ``text_col`` (0 for null and empty texts)."""
-    file = path or os.path.join(tokenizers, BYTE_BPE_50K)
+    file = df.sparkSession.sparkContext.broadcast(vocabulary_file(path, tokenizers))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(file)
+        coder = Encoder(file.value)
         for batch in batches:
             for part in slices(batch):
                 counts, _ = coder.encode(part.column(len(keep)).to_pylist(), counts_only=True)

@@ -7,6 +7,7 @@ import unicodedata
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.llm import answers, conversations, language, pages, scans
@@ -79,11 +80,32 @@ def test_scans(spark):
     c = spark.createDataFrame(clean + scanned + odd, "chunk_id string, source_id string, page int, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1))
     p = spark.createDataFrame([("scan", list(range(1, 31))), ("scan", [1, None]), ("none", None), (None, [1])], "source_id string, ocr_pages array<int>")
     assert {tuple(r) for r in scans.repairs(c, p).collect()} == want
+    # The vectors decide: without them no word is corrected.
+    zero = lambda seqs, ids: (np.zeros((len(ids), scans.DIMS)), np.zeros((len(ids), scans.DIMS)))
+    blind = {tuple(r) for r in scans.repairs(c, p, zero).collect()}
+    assert blind <= want and {x for x in want - blind} == {(f"s{k}", 3, "glyph") for k in range(1, 31)}
     text = {r.chunk_id: r.text for r in scans.repaired(c, p).collect()}
     assert "sample of the licence within 20 days of the record drawn" in text["s1"] and "Gazette" not in text["s1"] and "the office" in text["s1"]
     assert scans.repairs(c.limit(0), p).count() == 0 and scans.repairs(c, p.limit(0)).count() == 0
 
 
+def test_each_occurrence_is_corrected_in_its_context(spark):
+    """One misread word that stands for two others, told apart by the words beside it."""
+    rng = random.Random(6)
+    left, right = ["spins on the steel shaft with oil", "carries a heavy load in the wheel"], ["before the court of appeal was held", "of both parties was closed by the judge"]
+    clean = [(f"k{k}", "book", 900 + k, " ".join(f"the bearing {rng.choice(left)} and the hearing {rng.choice(right)} so" for _ in range(8))) for k in range(120)]
+    pages, want = [], {}
+    for k in range(1, 31):
+        # Furniture is looked for in the two outer lines.
+        a, b, outer = left[k % 2], right[k // 2 % 2], [clean[k][3], clean[k + 80][3]]
+        pages.append((f"s{k}", "scan", k, "\n".join([*outer, f"the bearirig {a}", clean[k + 40][3], f"the bearirig {b}", *outer[::-1]])))
+        want[f"s{k}"] = " ".join([*outer, f"the bearing {a}", clean[k + 40][3], f"the hearing {b}", *outer[::-1]])
+    c = spark.createDataFrame(clean + pages, "chunk_id string, source_id string, page int, text string")
+    p = spark.createDataFrame([("scan", list(range(1, 31)))], "source_id string, ocr_pages array<int>")
+    text = {r.chunk_id: r.text for r in scans.repaired(c, p).collect()}
+    assert text.keys() == want.keys() and sum(text[k] == want[k] for k in want) >= 0.9 * len(want)
+
+
 def plain_reasons(rows):
     names = {n: k for k, v in conversations.SPEAKERS.items() for n in v.split()}
     shown = lambda s: [c for c in s if not c.isspace() and unicodedata.category(c)[0] not in "ZC"]

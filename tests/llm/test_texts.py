@@ -16,12 +16,13 @@ from tokenizers import Tokenizer
 from sparkloom.llm import language, mixing, repeats, spans, tokens
 from sparkloom.runtime import table
 
-FILE = f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}"
+PATH = f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}"
+FILE = tokens.vocabulary_file()
 
 
 @pytest.fixture(scope="module")
 def public():
-    t = Tokenizer.from_file(FILE)
+    t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     return t
 
@@ -36,7 +37,7 @@ def split(counts, flat):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab'stmdrevl  \n\t.,19é९़क中😀 ­"), st.characters(codec="utf-8")), max_size=60), max_size=5))
 def test_tokens_equal_the_public_library(texts):
-    t = Tokenizer.from_file(FILE)
+    t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     got = list(split(*tokens.Encoder(FILE).encode(texts)))
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -51,6 +52,20 @@ def test_every_vocabulary_entry_is_one_token_or_as_merged(public):
     assert v.encode_words(joined) == [v.merged(w) for w in joined]
 
 
+def test_words_of_one_digest(public):
+    """Thue-Morse words: their digests agree for any base of a polynomial modulo a power of two."""
+    for n in (1024, 2048, 8192):
+        a = "".join("ab"[k.bit_count() & 1] for k in range(n))
+        pair = [a, a.translate(str.maketrans("ab", "ba"))]
+        want = [public.encode(t, add_special_tokens=False).ids for t in pair]
+        coder = tokens.Encoder(FILE)
+        assert list(split(*coder.encode([" ".join(pair), *pair]))) == [public.encode(" ".join(pair), add_special_tokens=False).ids, *want]
+        # Also where the first of them has been kept from an earlier slice.
+        coder = tokens.Encoder(FILE)
+        assert [next(split(*coder.encode([t]))) for t in [*pair, *pair]] == [*want, *want]
+        assert coder.encode(pair, counts_only=True)[0].tolist() == [len(w) for w in want]
+
+
 def test_encoding_of_a_table(spark, sf_dir, public):
     docs = table(spark, sf_dir, "documents").withColumn("ids", F.lit("clash"))
     got = {r.doc_id: r.ids for r in tokens.encoded(docs, "doc_id", "text").collect()}
