@@ -5,8 +5,9 @@ caller asks for; sources that fall short then say so). Each source's target over
 and a remainder, which is filled by Pareto order sampling: documents have unequal inclusion odds, proportional to a power of their size, and
 are taken in the order of random odds divided by inclusion odds until the remainder is full.
 
-The order needs no global sort and no window over a source: ranks are cut into ``2 ** BITS`` bins, the bins' token sums are added up (a few
-thousand rows for each source, whose number is that of ``mix_targets``), and only within a bin are documents ordered.
+The order needs no global sort and no window over a source: ranks are cut into bins, the bins' token sums are added up, and only within a bin
+are documents ordered. Bins are those of the rank times the source's own odds, brought into (0, 1), which is nearly uniform at any rate, so
+that no bin holds much more than its part; their number grows with the source (``BIN_DOCUMENTS``).
 
 Defined results: documents of sources without a target, null sources, and documents without a token are not used; a target source without
 documents, or with share zero, has 0 documents; repeated doc_ids are documents of their own.
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.tokens import TOKENIZERS, token_counts
 from sparkloom.runtime import cut
 
-BITS = 12
+#: Bins of a source, at least, and documents for each bin beyond that.
+LEAST_BINS = 4096
+BIN_DOCUMENTS = 20_000
 SEED = 20_240_601
 #: Inclusion odds grow with this power of a document's tokens.
 POWER = 0.25
@@ -55,6 +58,21 @@ def allocation(sizes: DataFrame, targets: DataFrame, total: float | None = None)
     return out.select("source", "target_share", "share", "max_repeat", "documents", "tokens", "mean_weight", "target_tokens", "whole", "remainder", rate.alias("rate"))
 
 
+def ranked(sizes: DataFrame, plan: DataFrame | None, seed: int = SEED) -> DataFrame:
+    """``sizes`` with the columns of ``plan`` (joined on the source unless None), each document's rank ``r`` (null where no remainder is
+    drawn), and its ``bin``; bins are in the order of ranks."""
+    rows = sizes if plan is None else sizes.join(F.broadcast(plan.select("source", "documents", "mean_weight", "whole", "remainder", "rate")), "source")
+    u = uniform(seed, F.col("doc_id"), F.col("source"))
+    # Inclusion odds are the source's own times the document's weight over the mean weight.
+    rate = F.least(F.col("rate"), F.lit(0.999999))
+    odds = rate / (1 - rate) * F.pow(F.col("n_tokens"), F.lit(POWER)) / F.col("mean_weight")
+    order = F.when(F.col("rate") > 1e-12, (u / (1 - u)) / odds)
+    # Times the source's odds the ranks are about u / (1 - u); x / (1 + x) brings them near u, in the same order.
+    scaled = F.col("r") * (rate / (1 - rate))
+    bins = F.greatest(F.lit(LEAST_BINS), F.ceil(F.col("documents") / BIN_DOCUMENTS))
+    return rows.withColumn("r", order).withColumn("bin", F.floor(bins * (scaled / (1 + scaled))))
+
+
 def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, tokenizers: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, n_tokens, copies) of the documents used, the report of ``report``)."""
     names = targets.where("source is not null").select("source")
@@ -62,24 +80,20 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     chosen = documents.join(F.broadcast(names), "source", "left_semi")
     sizes = cut(token_counts(chosen, ["doc_id", "source"], "text", tokenizers=tokenizers))
     plan = cut(allocation(sizes, targets, total))
-    rows = sizes.where("n_tokens > 0").join(F.broadcast(plan.where("target_tokens > 0").select("source", "mean_weight", "whole", "remainder", "rate")), "source")
-    u = uniform(seed, F.col("doc_id"), F.col("source"))
-    p = F.least(F.lit(0.999999), F.col("rate") * F.pow(F.col("n_tokens"), F.lit(POWER)) / F.col("mean_weight"))
-    order = F.when(F.col("rate") > 1e-12, (u / (1 - u)) / (p / (1 - p)))
-    # Ranks lie in (0, inf); x / (1 + x) brings them into (0, 1) in the same order.
-    ranked = rows.withColumn("r", order / (1 + order)).withColumn("bin", F.floor(F.col("r") * (1 << BITS)))
+    rows = sizes.where("n_tokens > 0").join(F.broadcast(plan.where("target_tokens > 0").select("source", "documents", "mean_weight", "whole", "remainder", "rate")), "source")
+    ranks = ranked(rows, None, seed)
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = ranked.where("r is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).select("source", "bin", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("before"))
+    bins = ranks.where("r is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).select("source", "bin", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "bin").orderBy("r", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     sampled = (
-        ranked.where("r is not null")
+        ranks.where("r is not null")
         .join(bins, ["source", "bin"])
         .withColumn("held", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         # The document on the border is taken if that comes nearer to the remainder.
         .withColumn("extra", F.when(F.col("held") + F.col("n_tokens") / 2 <= F.col("remainder"), 1).otherwise(0))
         .select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("extra")).alias("copies"))
     )
-    certain = ranked.where("r is null").select("doc_id", "source", "n_tokens", F.col("whole").alias("copies"))
+    certain = ranks.where("r is null").select("doc_id", "source", "n_tokens", F.col("whole").alias("copies"))
     used = cut(sampled.unionByName(certain).where("copies > 0").withColumn("copies", F.col("copies").cast("int")))
     return used, report(used, plan)
 

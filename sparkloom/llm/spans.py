@@ -1,9 +1,11 @@
 """Long spans that stand letter for letter in more than one record (problem 9).
 
 Units are hashed and their digests grouped globally; the earliest occurrence of a shared span is kept, later ones can be removed, and all
-offsets are those of the original text. Plain lines or paragraphs as units would miss a span that lies inside one long line, so the units
-are content-defined: the windows of ``unit`` characters whose hash is the least of ``min_chars - unit + 1`` neighbouring windows. Every span
-of ``min_chars`` characters holds the same such unit wherever it stands. Digests only propose pairs; the characters around the units decide.
+offsets are those of the original text. Units are lines: ``unit`` characters from a line break on. Whole lines wouldn't do, as short ones stand
+everywhere and a span can lie within a long one: of the lines that begin within ``min_chars - unit + 1`` places the one with the least hash is a
+unit, and where no line begins in that reach, a long line is cut at the place with the least hash. Every span of ``min_chars`` characters holds the
+same unit wherever it stands. Units aren't normalised further, as spans agree letter for letter. Digests only propose pairs; the characters
+around the units decide.
 
 Exact copies are collapsed first: one document of each class of equal texts takes part, and the pairs of the others follow from membership.
 
@@ -70,7 +72,8 @@ def _units(text: str, min_chars: int, unit: int) -> tuple[np.ndarray, np.ndarray
         part = text[at : at + BLOCK + min_chars - 1]
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
         h = _window_hashes(codes, unit).view(np.uint64)
-        p = _least(h, w)
+        # Windows that begin at a line break come first, whatever their hash. That depends on the window's own characters only.
+        p = _least((h >> np.uint64(1)) | (codes[: len(h)] != 10).astype(np.uint64) << np.uint64(63), w)
         digests.append(h[p])
         places.append(p + at)
     d, p = np.concatenate(digests), np.concatenate(places)

@@ -6,7 +6,9 @@ import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,13 +22,18 @@ PATH = f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}"
 FILE = tokens.vocabulary_file()
 
 
-@pytest.fixture(scope="module")
-def public():
+@lru_cache(1)
+def library():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     return t
 
 
+@pytest.fixture(scope="module")
+def public():
+    return library()
+
+
 def split(counts, flat):
     at = 0
     for n in counts.tolist():
@@ -37,8 +44,7 @@ def split(counts, flat):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab'stmdrevl  \n\t.,19é९़क中😀 ­"), st.characters(codec="utf-8")), max_size=60), max_size=5))
 def test_tokens_equal_the_public_library(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = library()
     got = list(split(*tokens.Encoder(FILE).encode(texts)))
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
@@ -117,6 +123,15 @@ def test_shared_spans_of_random_and_odd_texts(spark):
     assert spans.pairs_found(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_units_begin_at_lines(spark):
+    """Where lines are short, units are lines' beginnings; long lines are cut by content."""
+    lines = "".join(f"\n{k:05d} " + "x" * 50 + f"{k * k:07d}" for k in range(40))
+    d, p = spans._units(lines, 250, 110)
+    assert all(lines[k] == "\n" for k in p.tolist())
+    d, p = spans._units("y" + lines.replace("\n", " ") * 3, 250, 110)
+    assert len(p) and np.diff(p).max() <= 141
+
+
 def brute_lines(rows, share, least, letters):
     norm = lambda s: re.sub("#+", "#", "".join("#" if not c.isalpha() else c for c in s.lower() if c.isalnum()))
     once = {c: (s, t) for c, s, t in rows if c is not None}
@@ -190,6 +205,20 @@ def test_passages_and_labels(spark, sf_dir):
     assert [language.label(x) for x in ("Hindi", "hi_IN", " Eng ", "xx", "", "tam", "Deutsch")] == ["hi", "hi", "en", None, None, "ta", "de"]
 
 
+def test_no_bin_of_ranks_is_heavy(spark):
+    """Whatever share of a source is drawn, its ranks spread over the bins."""
+    n = 40_000
+    sizes = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (20 + F.col("id") % 300).alias("n_tokens"))
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeat int")
+    total = sizes.agg(F.sum("n_tokens")).first()[0]
+    for rate in (1e-5, 1e-3, 0.1, 0.5, 0.999):
+        plan = mixing.allocation(sizes, targets, rate * total)
+        ranks = mixing.ranked(sizes, plan)
+        assert ranks.groupBy("bin").count().agg(F.max("count")).first()[0] <= 0.01 * n
+        # Bins are in the order of ranks.
+        assert ranks.groupBy("bin").agg(F.min("r").alias("a"), F.max("r").alias("b")).selectExpr("a < lag(b) over (order by bin) as bad").where("bad").isEmpty()
+
+
 def test_mixing_to_shares(spark):
     text = lambda n: " ".join(["mark"] * n)
     docs = [(k, text(20 + k % 7 * 20), "big") for k in range(3000)] + [(9000 + k, text(30), "mid") for k in range(200)] + [(9900 + k, text(40), "small") for k in range(10)]
