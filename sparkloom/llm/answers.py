@@ -1,9 +1,10 @@
 """Defects of prompt and response pairs (problem 6).
 
-For each pair: a suffix automaton of the prompt measures how much of the response is copied from it; an automaton of refusal phrases finds
-the sentences that decline, and whether anything else is said; a stack of delimiters and the last sentence's end tell a broken-off text;
-words vote for the languages of both sides, by the labelled sentences of ``lang_samples``. Pairs are judged in place, row by row in Arrow
-batches, without a shuffle; equal rows are reported once.
+For each pair: a suffix automaton of the prompt measures how much of the response is copied from it (built only where the response holds one
+of the blocks of which any long enough copied stretch must hold one); an automaton of refusal phrases finds the sentences that decline, and
+whether anything else is said; a stack of delimiters and the last sentence's end tell a broken-off text; stopwords vote for the languages of
+both sides, and where too few of them agree all words do. Stopwords and words are those of the labelled sentences of ``lang_samples``. Pairs are
+judged in place, row by row in Arrow batches, without a shuffle; equal rows are reported once.
 
 Defined results: a null answer is empty; a null question can neither be copied nor set a language; must_refuse null counts as false. The first
 defect that applies of empty, copy, refusal, truncated, language.
@@ -13,20 +14,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.language import CODE_OF, DESIGNATION, LANGS, Detector, fitted
+from sparkloom.llm.language import CODE_OF, DESIGNATION, EDGES, Detector, bare, fitted, labelled_sentences
 
 COPIED = 0.85
 #: The share of the prompt that one copied stretch must reach for a response to be a copy of it.
 STRETCH = 0.5
 #: Nats by which a language must lead the prompt's before it counts as another.
 MARGIN = 6.0
+#: Stopwords of a language, at most; nats that each votes with; votes by which the leader must lead for stopwords to decide alone.
+STOPWORDS, VOTE, LEAD = 60, 4.0, 2
 
 # Headings of source and link lists, and labels of answers and questions, in the languages of the tables (fixed values).
 SOURCE_HEADS = "sources|source|references|official links|links|स्रोत|संदर्भ|आधिकारिक लिंक|लिंक|quellen|quellenverzeichnis|liens|liens officiels|références|उगम|সূত্র|உசாத்துணை|ஆதாரங்கள்"
@@ -49,6 +55,11 @@ kann ich nicht|nicht beantworten|keine auskunft|keine angaben|nicht möglich|je
 BESIDES = """kindly rephrase|please rephrase|please write to|write to the|you could check|you may check|please check|try asking|please contact|you may wish to ask|please ask|you could ask|please consult
 i looked through|thank you for|hmm|i apologise|i apologize|apologies|sorry|unfortunately|regrettably|i am afraid|i'm afraid|as an assistant|as an ai|please try
 क्षमा करें|खेद है|कृपया|धन्यवाद|maaf kijiye|kripya|khed hai|leider|bitte wenden|bitte|désolé|malheureusement|veuillez|माफ करा|দুঃখিত|மன்னிக்கவும்"""
+# Of a refusal in the first person: who speaks, what denies, and what isn't done; any of each in turn.
+WHO = ("i ", "we ", "i'm ", "i am ", "we're ", "we are ")
+DENIES = ("cannot ", "can't ", "can not ", "could not ", "couldn't ", "won't ", "will not ", "unable to ", "not able to ", "not in a position to ", "not going to ", "not allowed to ", "not permitted to ", "refuse to ", "decline to ", "must decline to ", "would rather not ", "prefer not to ", "would prefer not to ", "do not wish to ")
+UNDONE = "help assist answer respond reply say tell give provide share comment advise discuss speak address offer disclose comply guess speculate support fulfil".split()
+FIRST_PERSON = "\n".join(w + d + u for w in WHO for d in DENIES for u in UNDONE)
 _HEAD = re.compile(rf"^\W*(?:{SOURCE_HEADS})\W*:?\W*$", re.I)
 _LABEL = re.compile(rf"^[\s*_>#\-•\"'“]*(?:{LABELS})[*_\s]*[:：][*_\s]*|^[\s*_>#\-•]*\*\*(?:{LABELS})\s*:?\*\*[:\s]*|^\W*(?:{LABELS})\W*$", re.I)
 _CITES = re.compile(r"\s*(?:\[\d+(?:\s*[,–-]\s*\d+)*\]|【\d+[^】]*】)")
@@ -140,9 +151,38 @@ def unlabelled(text: str) -> str:
     return "\n".join(lines)
 
 
+_UNSAID = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+
+
 def plain(text: str) -> str:
     """Letters, marks and digits in one case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum() or unicodedata.category(c)[0] == "M")
+    return _UNSAID.sub("", unicodedata.normalize("NFKC", text).casefold())
+
+
+@lru_cache(1000)
+def prompt_automaton(asked: str) -> SuffixAutomaton:
+    return SuffixAutomaton(asked)
+
+
+def may_copy(asked: str, said: str) -> bool:
+    """Whether ``said`` holds a block of ``asked``: each stretch of ``STRETCH`` of it holds one of the blocks of half that length."""
+    size = (int(np.ceil(STRETCH * len(asked))) + 1) // 2
+    return any(asked[k : k + size] in said for k in range(0, len(asked) - size + 1, size))
+
+
+def stopwords(sentences: list[tuple[str, str]], most: int = STOPWORDS) -> dict[str, str]:
+    """Words that stand in many sentences of one language, and in hardly any of the others."""
+    of: dict[str, Counter] = defaultdict(Counter)
+    size: Counter = Counter(lang for lang, _ in sentences)
+    for lang, text in sentences:
+        of[lang].update({w for raw in DESIGNATION.sub(" ", text).split() if (w := bare(raw))})
+    share = lambda lang, w: of[lang][w] / size[lang]
+    out = {}
+    for lang, counts in of.items():
+        common = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))
+        for w in [w for w in common if share(lang, w) >= 5 * max((share(o, w) for o in of if o != lang), default=0)][:most]:
+            out[w] = lang
+    return out
 
 
 _BREAK = re.compile(r"(?<!\bRs)(?<!\bNo)(?<!\bS\.O)(?<!\bG\.S\.R)(?<!\bp)[.!?।॥]+(?:\s+|$)|\n+")
@@ -151,13 +191,17 @@ _BREAK = re.compile(r"(?<!\bRs)(?<!\bNo)(?<!\bS\.O)(?<!\bG\.S\.R)(?<!\bp)[.!?।
 class Judge:
     """Judges pairs; holds the automata and the language model."""
 
-    def __init__(self, model):
+    def __init__(self, model, stops: dict[str, str]):
         self.detector = Detector(model)
-        self.refusals, self.besides = automaton(REFUSALS), automaton(BESIDES)
+        self.langs = model.langs
+        self.stops = {w: self.langs.index(code) for w, code in stops.items()}
+        self.refusals, self.besides = automaton(f"{REFUSALS}\n{FIRST_PERSON}"), automaton(BESIDES)
 
     def refuses(self, text: str) -> bool:
         """Some sentence declines and none says anything else."""
         declined = False
+        if not any(True for _ in self.refusals.iter(text.lower().replace("’", "'"))):
+            return False
         for sentence in _BREAK.split(text):
             s = (sentence or "").strip(" *_>#-•\"'“”").lower().replace("’", "'")
             if not plain(s):
@@ -169,8 +213,12 @@ class Judge:
         return declined
 
     def languages(self, text: str) -> np.ndarray:
-        """Votes of the words for each language; quoted labels have none."""
+        """Votes for each language; quoted labels have none. Stopwords decide where one language leads, else all words vote."""
         text = re.sub(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|'[^'\n]{3,80}'(?=\W|$)", " ", text)
+        votes = np.bincount([k for raw in DESIGNATION.sub(" ", text).split() if (k := self.stops.get(raw.strip(EDGES).lower())) is not None], minlength=len(self.langs))
+        first, second = np.sort(votes)[::-1][:2] if len(votes) > 1 else (votes.max(initial=0), 0)
+        if first - second >= LEAD:
+            return VOTE * votes
         scores, words, _ = self.detector.lines([text])
         return scores.sum(axis=0)
 
@@ -225,8 +273,8 @@ class Judge:
         if not _INVISIBLE.sub("", letters) or bare in PLACEHOLDERS or ERROR.match(said.strip()):
             return "empty"
         asked = plain(question or "")
-        if asked and len(letters) >= STRETCH * len(asked):
-            auto = SuffixAutomaton(asked)
+        if asked and len(letters) >= STRETCH * len(asked) and may_copy(asked, letters):
+            auto = prompt_automaton(asked)
             total, longest = auto.covered(letters, max(6, min(len(asked) // 4, 20)))
             if total >= COPIED * len(letters) and longest >= STRETCH * len(asked):
                 return "copy"
@@ -236,24 +284,25 @@ class Judge:
             return "truncated"
         if question:
             votes = self.languages(said)
-            got = LANGS[int(votes.argmax())]
+            got = self.langs[int(votes.argmax())]
             wanted = self.asked_language(question)
             if wanted is None:
                 mine = self.languages(question)
                 if np.ptp(mine) == 0:
                     return None
-                wanted = LANGS[int(mine.argmax())]
-            if got != wanted and votes.max() - votes[LANGS.index(wanted)] >= MARGIN:
+                wanted = self.langs[int(mine.argmax())]
+            if got != wanted and votes.max() - (votes[self.langs.index(wanted)] if wanted in self.langs else 0) >= MARGIN:
                 return "language"
         return None
 
 
 def defects(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """(id, defect) of each defective pair. ``samples`` are the labelled sentences that the language votes are fitted on."""
-    model = pairs.sparkSession.sparkContext.broadcast(fitted(samples))
+    sentences = labelled_sentences(samples)
+    model = pairs.sparkSession.sparkContext.broadcast((fitted(sentences), stopwords(sentences)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(model.value)
+        judge = Judge(*model.value)
         for pdf in batches:
             found = [(i, d) for i, q, a, r in pdf[["id", "question", "answer", "must_refuse"]].itertuples(index=False) if (d := judge.defect(q, a, bool(r) and r == r))]
             yield pd.DataFrame(found, columns=["id", "defect"])

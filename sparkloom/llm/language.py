@@ -5,7 +5,8 @@ language; an unseen word falls back to the log frequencies of its character n-gr
 characters. A line's scores are the sum over its words; within a text a dynamic programme over the lines charges for each change of language,
 so that a short line without evidence of its own goes with its neighbours.
 
-The labelled sample is bounded (``MAX_SAMPLES``, a documented parameter); everything else runs over all rows, in place, without a shuffle.
+The languages are those of the sample, which is bounded (``MAX_SAMPLES``, a documented parameter: of each language as many sentences, drawn by a
+hash, as its part of that); everything else runs over all rows, in place, without a shuffle.
 
 Defined results: blank texts and texts without a word of any language have no passage; designations such as ``IS 1234`` or ``S.O. 12(E)``
 have no language; a line of designations only belongs to none. Confidence is the posterior probability of the language over the passage.
@@ -20,14 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.tokens import slices
 
 #: Labelled sentences used to fit the model, at most.
 MAX_SAMPLES = 20_000
-LANGS = ("en", "hi", "mr", "bn", "ta", "fr", "de")
 #: Words a worker keeps scored before it starts anew.
 KEPT_WORDS = 300_000
 #: Cost of a change of language between two lines, in nats.
@@ -52,14 +52,16 @@ DESIGNATION = re.compile(
 EDGES = ".,;:!?()[]{}|\"'*#>•/=_~`“”‘’«»…—–-।"
 
 
-def label(text: str | None) -> str | None:
-    """The code that a label names in any usual spelling (case, blanks, region, script or full name), else None."""
+def label(text: str | None, others: frozenset[str] = frozenset()) -> str | None:
+    """The code that a label names in any usual spelling (case, blanks, region, script or full name), else None. ``others`` are codes that
+    are known besides those with names here."""
     if text is None:
         return None
     t = text.strip().lower()
-    if (code := CODE_OF.get(t)) is not None:
-        return code
-    return CODE_OF.get(re.split(r"[-_ ,(]", t, maxsplit=1)[0])
+    for x in (t, re.split(r"[-_ ,(]", t, maxsplit=1)[0]):
+        if (code := CODE_OF.get(x, x if x in others else None)) is not None:
+            return code
+    return None
 
 
 class Model:
@@ -73,11 +75,12 @@ class Model:
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in samples:
             words[lang].update(w for raw in DESIGNATION.sub(" ", text).split() if (w := bare(raw)))
-        self.word = self._table({code: words[code] for code in LANGS})
+        self.langs = sorted(words)
+        self.word = self._table({code: words[code] for code in self.langs})
         self.grams = []
         for n in range(1, self.LONGEST + 1):
-            counted = {code: Counter() for code in LANGS}
-            for code in LANGS:
+            counted = {code: Counter() for code in self.langs}
+            for code in self.langs:
                 for w, k in words[code].items():
                     padded = f"^{w}$"
                     for i in range(len(padded) - n + 1):
@@ -85,9 +88,9 @@ class Model:
             self.grams.append(self._table(counted))
 
     def _table(self, counts: dict[str, Counter]) -> dict[str, np.ndarray]:
-        total = [sum(counts[c].values()) + 1 for c in LANGS]
+        total = [sum(counts[c].values()) + 1 for c in self.langs]
         keys = set().union(*counts.values())
-        return {k: np.array([math.log((counts[c][k] + self.UNSEEN) / t) for c, t in zip(LANGS, total, strict=True)]) for k in keys}
+        return {k: np.array([math.log((counts[c][k] + self.UNSEEN) / t) for c, t in zip(self.langs, total, strict=True)]) for k in keys}
 
     def score(self, word: str) -> np.ndarray:
         """Of one word, by language, shifted so that the best is 0. Known words have full weight; n-grams are averaged."""
@@ -105,7 +108,7 @@ class Model:
                         break
                 at += 1
             if not found:
-                return np.zeros(len(LANGS))
+                return np.zeros(len(self.langs))
             s = np.mean(found, axis=0) * min(1.0, len(found) / 8)
         return np.maximum(s - s.max(), -8.0)
 
@@ -126,8 +129,8 @@ class Detector:
 
     def _reset(self) -> None:
         self.cache.clear()
-        self.rows: list[np.ndarray] = [np.zeros(len(LANGS) + 1)]
-        self.matrix = np.zeros((1, len(LANGS) + 1))
+        self.rows: list[np.ndarray] = [np.zeros(len(self.model.langs) + 1)]
+        self.matrix = np.zeros((1, len(self.model.langs) + 1))
 
     def _learn(self, raw: str) -> int:
         w = bare(raw)
@@ -152,7 +155,7 @@ class Detector:
         if len(self.rows) > len(self.matrix):
             self.matrix = np.array(self.rows)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        sums = np.zeros((len(sizes), len(LANGS) + 1))
+        sums = np.zeros((len(sizes), len(self.model.langs) + 1))
         filled = np.flatnonzero(sizes)
         if len(filled):
             sums[filled] = np.add.reduceat(self.matrix[np.array(codes, np.int64)], ends[filled], axis=0)
@@ -197,20 +200,34 @@ def _smoothed(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def fitted(samples: DataFrame, limit: int = MAX_SAMPLES) -> Model:
-    """The model from at most ``limit`` labelled rows (lang, text)."""
-    rows = samples.where("text is not null").select("lang", "text").orderBy("sample_id").limit(limit).collect()
-    return Model([(code, r.text) for r in rows if (code := label(r.lang))])
+def labelled_sentences(samples: DataFrame, limit: int = MAX_SAMPLES) -> list[tuple[str, str]]:
+    """(code, text) of at most ``limit`` labelled rows (sample_id, lang, text), in order; of each label the same share of its rows, and
+    the rows with the least hashes, so that no language is left out."""
+    rows = samples.where("text is not null and lang is not null").select("sample_id", "lang", "text")
+    sizes = rows.groupBy("lang").count().collect()
+    part = min(1.0, limit / max(1, sum(r["count"] for r in sizes)))
+    # A few more than its share of each label by the hash, then exactly its share.
+    want = {r["lang"]: max(1, int(part * r["count"])) for r in sizes}
+    near = rows if part == 1.0 else rows.where(F.pmod(F.xxhash64("lang", "sample_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * part + 1e-4)))
+    kept = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("lang", "sample_id", "text"), "sample_id")))
+    found = [r for r in kept.where(F.col("k") <= limit).orderBy("sample_id", "lang", "text").collect() if r.k <= want[r.lang]]
+    others = frozenset(r["lang"].strip().lower() for r in sizes if re.fullmatch(r"[a-z]{2,3}", r["lang"].strip().lower()))
+    return [(code, r.text) for r in found if (code := label(r.lang, others))]
+
+
+def fitted(sentences: list[tuple[str, str]]) -> Model:
+    return Model(sentences)
 
 
 def languages(df: DataFrame, samples: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each passage: id, line_no (of its first line), lang, confidence, n_passages of the text, and ``labelled``, the language
     that the old label names (null if none)."""
-    model = df.sparkSession.sparkContext.broadcast(fitted(samples))
+    model = df.sparkSession.sparkContext.broadcast(fitted(labelled_sentences(samples)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(model.value)
+        names_of, others = model.value.langs, frozenset(model.value.langs)
         labels: dict[str | None, str | None] = {}
         names = [id_col, "line_no", "lang", "confidence", "n_passages", "labelled"]
         kinds = [None, pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string()]
@@ -223,8 +240,8 @@ def languages(df: DataFrame, samples: DataFrame, id_col: str = "chunk_id", text_
                 for i, old, b, e in zip(ids, langs, at.tolist(), ends, strict=True):
                     found = passages(scores[b:e], words[b:e])
                     if old not in labels:
-                        labels[old] = label(old)
-                    out += [(i, line, LANGS[code], p, len(found), labels[old]) for line, code, p in found]
+                        labels[old] = label(old, others)
+                    out += [(i, line, names_of[code], p, len(found), labels[old]) for line, code, p in found]
                 columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t or part.schema.field(0).type) for c, t in zip(columns, kinds, strict=True)], names=names)
 

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.pages import once
 from sparkloom.runtime import broadcast_if_small, cut
 
 MIN_LETTERS = 12
@@ -153,6 +154,6 @@ def without_repeats(chunks: DataFrame, share: float = SHARE, min_chunks: int = M
     """(chunk_id, source_id, text) with the repeated lines removed; each chunk once, a null text stays null."""
     found = repeated_lines(chunks, share, min_chunks, min_letters).groupBy("chunk_id").agg(F.collect_list("line_no").alias("gone"))
     found = cut(found)
-    once = chunks.where("chunk_id is not null").select("chunk_id", "source_id", "text").dropDuplicates(["chunk_id"])
+    each = once(chunks.where("chunk_id is not null").select("chunk_id", "source_id", "text"), "chunk_id")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> gone is null or not array_contains(gone, i + 1)), '\\n')")
-    return once.join(broadcast_if_small(found), "chunk_id", "left").select("chunk_id", "source_id", F.when(F.col("text").isNotNull(), kept).alias("text"))
+    return each.join(broadcast_if_small(found), "chunk_id", "left").select("chunk_id", "source_id", F.when(F.col("text").isNotNull(), kept).alias("text"))

@@ -237,6 +237,11 @@ CASES = [
     ("Is the mark compulsory for lamps?", "The sample is sent to the office [1][2]\n\n**Sources:**\n[1] Rules, p. 2 | https://x.example/a.pdf", False, None),
     ("Is the mark compulsory for lamps? Please answer in Hindi.", "The sample drawn at the works must be sent to the regional laboratory within ten days.", False, "language"),
     (None, "The sample drawn at the works must be sent to the regional laboratory.", None, None),
+    # Wordings of refusals that the tables don't have.
+    ("Is the mark compulsory for lamps?", "I am not in a position to comment on lamps.", False, "refusal"),
+    ("Is the mark compulsory for lamps?", "Sorry, we cannot share that. Please contact the branch.", False, "refusal"),
+    ("Is the mark compulsory for lamps?", "I would prefer not to speculate about it.", False, "refusal"),
+    ("Is the mark compulsory for lamps?", "The holder cannot share the mark with another maker.", False, None),
 ]
 
 
@@ -255,6 +260,15 @@ def test_the_suffix_automaton_measures_copies():
     assert a.covered("zzabcdzzabx", 3) == (7, 4) and a.covered("", 1) == (0, 0) and answers.SuffixAutomaton("").covered("abc", 1) == (0, 0)
 
 
+def test_blocks_tell_where_a_copy_may_be():
+    rng = random.Random(3)
+    for _ in range(2000):
+        asked = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
+        said = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
+        longest = answers.SuffixAutomaton(asked).covered(said, 1)[1]
+        assert answers.may_copy(asked, said) or longest < answers.STRETCH * len(asked)
+
+
 def test_every_query_is_registered():
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 9)} | {"p7_ids", "p8_mix", "p8_report"} <= set(REGISTRY.queries)
     assert language.label("English") == "en"

@@ -187,10 +187,20 @@ def test_languages_of_held_out_sentences(spark, sf_dir):
     right = 0
     for r in test:
         s, w, _ = detector.lines([r.text.replace("\n", " ")])
-        right += [language.LANGS[c] for _, c, _ in language.passages(s, w)] == [r.lang]
+        right += [detector.model.langs[c] for _, c, _ in language.passages(s, w)] == [r.lang]
     assert right >= 0.97 * len(test)
 
 
+def test_languages_are_those_of_the_sample(spark):
+    """A language without a name here counts under its code; a large sample keeps rows of every language."""
+    rows = [(k, "en", f"the order number {k:c} is kept by the office for the record") for k in range(97, 1097)] + [(5000 + k, "eo", "la domo estas granda kaj la urbo estas bela") for k in range(20)]
+    samples = spark.createDataFrame(rows, "sample_id long, lang string, text string")
+    kept = language.labelled_sentences(samples, 100)
+    assert len(kept) <= 101 and {c for c, _ in kept} == {"en", "eo"}
+    df = spark.createDataFrame([("a", "en", "la urbo estas granda"), ("b", "eo", "la urbo estas granda"), ("c", None, "the office kept the record")], "chunk_id string, lang string, text string")
+    assert {tuple(r) for r in language.relabelled(df, samples).collect()} == {("a", 1, "eo"), ("c", 1, "en")}
+
+
 def test_passages_and_labels(spark, sf_dir):
     samples = table(spark, sf_dir, "lang_samples")
     en, de, hi = (samples.where(f"lang = '{c}'").first().text for c in ("en", "de", "hi"))
