@@ -268,7 +268,7 @@ def win11(spark, d):
     SELECT chunk_id, line_no, last_value(head IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY line_no) AS heading, CAST(sum(CASE WHEN head IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY chunk_id ORDER BY line_no) AS BIGINT) AS segment FROM h""",
 )
 def win3(spark, d):
-    """One level of headings over the lines of each chunk; the full three-level form is ``segments.split_structure``."""
+    """One level of headings over the lines of each chunk; the full three-level form is ``win3_segments``."""
     lines = chunks(spark, d).where("text is not null").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     head = F.when(F.col("line").rlike(r"^(#+ |CHAPTER |SCHEDULE-|\d+\. [A-Z])"), F.col("line"))
     w = Window.partitionBy("chunk_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
@@ -276,14 +276,42 @@ def win3(spark, d):
     return h.select("chunk_id", (F.col("p") + 1).cast("long").alias("line_no"), F.last("head", ignorenulls=True).over(w).alias("heading"), F.sum(F.when(F.col("head").isNull(), 0).otherwise(1)).over(w).alias("segment"))
 
 
-@q("win3_segments")
+_OUTLINE = r"""lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+    items AS (SELECT *, regexp_matches(line, '^\s*(\d+[A-Z]?)\.\s+(\S.*)$') AS item, regexp_extract(line, '^\s*(\d+[A-Z]?)\.\s+(\S.*)$', 1) AS no, trim(regexp_extract(line, '^\s*(\d+[A-Z]?)\.\s+(\S.*)$', 2)) AS w FROM lines),
+    titled AS (SELECT *, regexp_extract(w, '^(.{3,120}?)(?:\.\s|\.$|\s[–—-]\s|:-)', 1) AS short FROM items),
+    named AS (SELECT *, CASE WHEN NOT item OR NOT regexp_matches(w, '^[A-Z("''\x{0900}-\x{097F}]') THEN NULL WHEN ends_with(w, '?') AND length(w) < 200 THEN no || '. ' || w WHEN starts_with(w, '(') THEN no || '.'
+      WHEN short <> '' THEN no || '. ' || trim(short) WHEN ends_with(w, ':') THEN NULL WHEN length(w) > 120 OR regexp_matches(w, '[,;—-]$') THEN no || '.' ELSE no || '. ' || w END AS title FROM titled),
+    heads AS (SELECT doc_id, p, line, CASE WHEN regexp_matches(line, '^\s*(CHAPTER|SCHEDULE|ANNEX|FORM|PART)\b.{0,120}$') THEN 0 WHEN regexp_matches(line, '(?i)^\s*scheme\s*-\s*([ivx]+)\b.{0,60}$') THEN 1
+      WHEN regexp_matches(line, '^#{1,6}\s+(.*\S)\s*$') OR title IS NOT NULL THEN 2 END AS level,
+      CASE WHEN regexp_matches(line, '^\s*(CHAPTER|SCHEDULE|ANNEX|FORM|PART)\b.{0,120}$') THEN left(trim(regexp_replace(line, '\s+', ' ', 'g')), 80)
+      WHEN regexp_matches(line, '(?i)^\s*scheme\s*-\s*([ivx]+)\b.{0,60}$') THEN 'Scheme-' || upper(regexp_extract(line, '(?i)^\s*scheme\s*-\s*([ivx]+)\b.{0,60}$', 1))
+      WHEN regexp_matches(line, '^#{1,6}\s+(.*\S)\s*$') THEN left(regexp_extract(line, '^#{1,6}\s+(.*\S)\s*$', 1), 150) ELSE left(title, 150) END AS title FROM named),
+    counted AS (SELECT *, count(level) OVER d AS seg, count(CASE WHEN level = 0 THEN 1 END) OVER d AS c0, count(CASE WHEN level <= 1 THEN 1 END) OVER d AS c1 FROM heads WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+    carried AS (SELECT *, last_value(CASE WHEN level = 0 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p) AS t0, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id, c0 ORDER BY p) AS t1,
+      last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id, c1 ORDER BY p) AS t2 FROM counted),
+    grouped AS (SELECT doc_id, seg, left(concat_ws(' > ', nullif(min(t0), ''), nullif(min(t1), ''), nullif(min(t2), '')), 200) AS section, trim(string_agg(line, chr(10) ORDER BY p), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM carried GROUP BY doc_id, seg),
+    segs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS INT) AS segment, section, text FROM grouped WHERE text <> '')"""
+
+
+@q("win3_segments", f"WITH {_OUTLINE} SELECT doc_id, segment, section, text FROM segs")
 def win3_segments(spark, d):
-    return segments.split_structure(table(spark, d, "documents"), "doc_id", "text")
+    return segments.segmented(table(spark, d, "documents"), "doc_id", "text")
+
+
+@q(
+    "win4_joined_segments",
+    f"""WITH RECURSIVE {_OUTLINE}, walk AS (SELECT doc_id, segment, section, text, 0 AS grp, length(text) AS size FROM segs WHERE segment = 0
+    UNION ALL SELECT s.doc_id, s.segment, s.section, s.text, CASE WHEN w.size // 4 < 120 AND (w.size + length(s.text)) // 4 <= 800 THEN w.grp ELSE w.grp + 1 END,
+    CASE WHEN w.size // 4 < 120 AND (w.size + length(s.text)) // 4 <= 800 THEN w.size + 1 + length(s.text) ELSE length(s.text) END FROM walk w JOIN segs s ON s.doc_id = w.doc_id AND s.segment = w.segment + 1)
+    SELECT doc_id, CAST(grp AS INT) AS segment, coalesce(arg_min(section, segment) FILTER (section <> ''), '') AS section, string_agg(text, chr(10) ORDER BY segment) AS text FROM walk GROUP BY doc_id, grp""",
+)
+def win4(spark, d):
+    return segments.segmented(table(spark, d, "documents"), "doc_id", "text", small=True)
 
 
 @q("win5_capped_pieces")
 def win5(spark, d):
-    return segments.capped(segments.merged(segments.split_structure(table(spark, d, "documents"), "doc_id", "text")))
+    return segments.segmented(table(spark, d, "documents"), "doc_id", "text", small=True, long=True)
 
 
 @q("win6_word_windows", f"WITH {CHUNKS}, w AS (SELECT chunk_id, unnest(range(0, len(l))) AS p, unnest(l) AS word FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS l FROM chunks WHERE text IS NOT NULL)) SELECT chunk_id, p // 25 AS win, count(*) AS n, count(DISTINCT word) AS words FROM w GROUP BY ALL")

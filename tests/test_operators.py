@@ -111,20 +111,45 @@ def test_row_products_equal_a_matrix_product(spark):
         assert {(r.a, r.b): r.sim for r in terms.row_products(df, block).collect()} == pytest.approx(dict(want))
 
 
-def test_segments():
-    text = "CHAPTER I General\nintro line\n1. Scope. This applies.\nmore\n## Fees\n" + "word. " * 3000
-    segs = segments.segments_of(text)
-    assert [s for s, _ in segs] == ["CHAPTER I General", "CHAPTER I General > 1. Scope", "CHAPTER I General > Fees"]
-    merged = segments.merge_small(segs)
-    assert len(merged) == 2 and "intro line\n1. Scope" in merged[0][1]
-    pieces = segments.cap(segs[2][1])
-    assert all(segments.tokens(p) <= 800 for p in pieces) and len(pieces) > 5 and pieces[1].startswith("word.")
-    assert segments.segments_of("") == [] and segments.cap("x" * 10_000)
+def outline(spark, text, **how):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [(r.section, r.text) for r in segments.segmented(df, "doc_id", "text", **how).orderBy("segment").collect()]
+
+
+def test_segments_stand_under_their_headings(spark):
+    text = "CHAPTER IV\nSTANDARD MARK\nintro\nSCHEME-I\n5. Grant of Licence. (1) The applicant shall\nSchedule – I, and may include the following, namely:-\n1. Name of Applicant:\n(a) details\n2. when it rains\n## Fees\nPART B\n3. What is due?\n4. (1) No person"
+    assert [s for s, _ in outline(spark, text)] == [
+        "CHAPTER IV",
+        "CHAPTER IV > Scheme-I",
+        "CHAPTER IV > Scheme-I > 5. Grant of Licence",
+        "CHAPTER IV > Scheme-I > Fees",
+        "PART B",
+        "PART B > 3. What is due?",
+        "PART B > 4.",
+    ]
+    assert "\n".join(t for _, t in outline(spark, text)) == text
+    assert len(outline(spark, text, small=True)) == 1
+
+
+def test_pieces_of_long_segments():
+    text = " ".join(f"Sentence number {i} about licences." for i in range(2000))
+    cuts = segments.windows(text)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and len(cuts) > 5
+    for (a, b), (c, d) in zip(cuts, cuts[1:], strict=False):
+        assert a < c < b <= d and (b - a) // 4 <= 800 and 0 < b - c <= 400 and text[c:].startswith("Sentence") and text[:b].rstrip().endswith(".")
+    # Without a sentence's end pieces end at blanks, and without blanks anywhere; then nothing overlaps.
+    for long in ("word " * 3000, "x" * 10_000):
+        cuts = segments.windows(long)
+        assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and all(b - a <= 3200 for a, b in cuts)
+        assert "".join(long[a:b] for a, b in cuts) == long
+    assert segments.windows("") == [(0, 0)] and segments.pieces(" \n") == []
 
 
 def test_segments_of_odd_tables(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "# A\nb")], "doc_id long, text string").withColumn("segment", F.lit(0))
-    assert [(r.doc_id, r.section) for r in segments.capped(segments.merged(segments.split_structure(df, "doc_id", "text"))).collect()] == [(3, "A")]
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "# A\nb"), (3, "\n"), (None, "c")], "doc_id long, text string").withColumn("segment", F.lit(0)).withColumn("opens", F.lit(0))
+    got = [(r.doc_id, r.section, r.text) for r in segments.segmented(df, "doc_id", "text", small=True, long=True).collect()]
+    assert sorted(got, key=str) == [(3, "A", "# A\nb"), (None, "", "c")]
+    assert segments.segmented(df.limit(0), "doc_id", "text").count() == 0
 
 
 def test_keyed_tables(spark):
