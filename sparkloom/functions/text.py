@@ -99,11 +99,18 @@ def words_with_vowel_signs(c: Column) -> tuple[Column, Column]:
 # Lines of a gazette's masthead and furniture.
 MASTHEAD = "|".join(
     [
-        r"^\s*(the\s+)?gazette\s+of\s+india\s*:?\s*(extraordinary)?\s*$",
-        r"^\s*(extraordinary|published by authority)\s*$",
+        r"^\s*(the\s+)?gazette\s+of\s+india\s*[:：]?\s*(extraordinary)?\s*$",
+        r"^\s*(extraordinary|published by authority|प्राधिकार से प्रकाशित|असाधारण)\s*$",
+        r"^\s*(भारत\s+का\s+राजपत्र).*$",
         r"^\s*\[?\s*part\s+[ivx]+\s*[-—–]\s*sec(tion)?\.?\s*\d.*$",
+        r"^\s*\[?\s*भाग\s+[ivx]+.*खण्ड.*$",
         r"^\s*(registered\s+no|regd\.?\s*no)\.?.*$",
+        r"^\s*(सी\.\s*जी\.|cg-[a-z]{2}-e-\d+|xxxgidexxx|xxxgidhxxx).*$",
+        r"^\s*uploaded by dte\.? of printing.*$",
         r"^\s*digitally signed by.*$",
+        r"^\s*(date|signature not verified|reason|location)\s*:.*$",
+        r"^\s*no\.\s*\d+\]\s*new delhi,.*$",
+        r"^\s*सं\.\s*\d+\]\s*नई\s*दिल्ली.*$",
         r"^\s*sec\.\s*\d+\s*(\(\w+\))*\s*\]?\s*$",
         r"^\s*\d+\s*$",
         r"^\s*page\s+\d+\s+(of\s+\d+)?\s*$",

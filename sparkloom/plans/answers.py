@@ -60,16 +60,18 @@ def joi1(spark, d):
     return t.join(chunks(spark, d).select("chunk_id", "title", "page"), "chunk_id").select("id", "n", "chunk_id", "title", "page")
 
 
-_NEEDS = """CASE WHEN length(claim) < 25 OR regexp_matches(raw, '^\\s*\\|?\\s*:?-{3,}') THEN false WHEN regexp_full_match(raw, '#+\\s.*|\\*\\*[^*]+\\*\\*:?|\\d+\\.\\s+\\*\\*[^*]+\\*\\*:?') OR (ends_with(raw, ':') AND length(raw) < 80) THEN false
-    WHEN regexp_matches(lower(body), '^(visit|download|create|register|keep|file|check|submit|apply|contact|open|use|read|ensure|see|refer|search|ask|write|choose|follow)\\b') AND NOT regexp_matches(body, '\\d') THEN false
-    WHEN regexp_matches(body, 'https?://') AND len(string_split(trim(regexp_replace(regexp_replace(body, 'https?://\\S+', '', 'g'), '\\s+', ' ', 'g')), ' ')) < 12 THEN false ELSE true END"""
+_ADVICE = citations.ADVICE.replace("'", "''")
 
 
 @q(
     "fil17_lines_to_cite",
     f"""WITH {RESULTS}, l AS (SELECT id, unnest(range(1, len(string_split(answer, chr(10))) + 1)) AS line_no, unnest(string_split(answer, chr(10))) AS line FROM results WHERE answer IS NOT NULL),
-    c AS (SELECT id, line_no, trim(line) AS raw, trim(regexp_replace(regexp_replace(line, '\\[\\d+\\]|\\*\\*|^\\s*[-*\\d.)]+\\s*|\\|', ' ', 'g'), '\\s+', ' ', 'g')) AS claim,
-    regexp_replace(regexp_replace(trim(line), '^\\s*([-*•]|\\d+[.)]|[a-z][.)])\\s*', ''), '^\\*\\*[^*]{{1,60}}\\*\\*\\s*[:–-]?\\s*', '') AS body FROM l) SELECT id, line_no, {_NEEDS} AS needs FROM c""",
+    c AS (SELECT id, line_no, trim(line) AS shown, length(trim(regexp_replace(regexp_replace(line, '\\[\\d+\\]|\\*\\*|^\\s*[-*\\d.)]+\\s*|\\|', ' ', 'g'), '\\s+', ' ', 'g'))) AS claim,
+    regexp_replace(regexp_replace(trim(line), '^\\s*([-*•]|\\d+[.)]|[a-z][.)])\\s*', ''), '^\\*\\*[^*]{{1,60}}\\*\\*\\s*[:–-]?\\s*', '') AS said FROM l),
+    k AS (SELECT id, line_no, CASE WHEN regexp_matches(shown, '^\\|?\\s*:?-{{3,}}') THEN 'rule' WHEN claim < 25 THEN 'short' WHEN regexp_full_match(shown, '#+\\s.*|(\\d+\\.\\s+)?\\*\\*[^*]+\\*\\*:?') OR (ends_with(shown, ':') AND length(shown) < 80) THEN 'heading'
+      WHEN regexp_matches(lower(said), '^({_ADVICE})\\b') AND NOT regexp_matches(said, '\\d') THEN 'advice'
+      WHEN regexp_matches(said, 'https?://') AND len([w FOR w IN regexp_split_to_array(regexp_replace(said, 'https?://\\S+', '', 'g'), '\\s+') IF w <> '']) < 12 THEN 'link' END AS exempt FROM c)
+    SELECT id, line_no, exempt IS NULL AS needs, exempt FROM k""",
 )
 def fil17(spark, d):
     return citations.lines_to_cite(results(spark, d), "id", "answer")
@@ -77,7 +79,7 @@ def fil17(spark, d):
 
 _COVER = """WITH {r}, {c}, cl AS (SELECT id, k, claim, list_distinct([w FOR w IN regexp_extract_all(lower(claim), '[a-z0-9]+') IF w NOT IN ('the','a','an','of','to','and','or','in','on','for','with','is','are','be','by','from','your','you','if','as','at','this','that','its','it','any','within','under')]) AS words
     FROM (SELECT id, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS claim FROM (SELECT id, [x FOR x IN string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF length(x) >= 25] AS s FROM results WHERE answer IS NOT NULL))),
-    ex AS (SELECT id, n, list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(section, '') || ' ' || text), '[a-z0-9]+')) AS have FROM (SELECT id, unnest(range(1, len(top5) + 1)) AS n, unnest(top5) AS chunk_id FROM results) t JOIN chunks USING (chunk_id) WHERE text IS NOT NULL),
+    ex AS (SELECT id, n, list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(section, '') || ' ' || text), '[a-z0-9]+')) AS have, text FROM (SELECT id, unnest(range(1, len(top5) + 1)) AS n, unnest(top5) AS chunk_id FROM results) t JOIN chunks USING (chunk_id) WHERE text IS NOT NULL),
     cov AS (SELECT id, k, n, CAST(len([w FOR w IN words IF list_contains(have, w)]) AS DOUBLE) / len(words) AS covered FROM cl JOIN ex USING (id) WHERE len(words) > 0)"""
 COVERED = _COVER.format(r=RESULTS, c=CHUNKS)
 
@@ -87,6 +89,23 @@ def joi23(spark, d):
     return citations.coverage(results(spark, d), chunks(spark, d)).select("id", "k", "n", F.round("covered", 6).alias("covered"))
 
 
+@q(
+    "joi23_two_passes",
+    f"""{COVERED}, num AS (SELECT id, k, n, len([w FOR w IN words IF list_contains(have, w)]) AS shared, len(words) AS size, contains(claim, '[' || n || ']') AS cited,
+      len([x FOR x IN list_distinct(regexp_extract_all(claim, '\\d+')) IF NOT list_contains(regexp_extract_all(text, '\\d+'), x)]) AS missing FROM cl JOIN ex USING (id) WHERE len(words) > 0),
+    passes AS (SELECT id, k, n, shared, size, 1 AS pass FROM num WHERE cited
+      UNION ALL SELECT id, k, n, shared, size, 2 FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY shared DESC, n) AS r FROM num WHERE NOT cited AND missing = 0) WHERE r <= 6)
+    SELECT id, k, n, CAST(pass AS INT) AS pass, round(CAST(shared AS DOUBLE) / size, 6) AS covered FROM passes""",
+)
+def joi23_passes(spark, d):
+    """Claims against the excerpts they cite, then against up to six others that have all their numbers, by shared words."""
+    c = citations.coverage(results(spark, d), chunks(spark, d), numbers=True)
+    one = c.where("cited").withColumn("pass", F.lit(1))
+    best = F.row_number().over(Window.partitionBy("id", "k").orderBy(F.desc("shared"), "n"))
+    two = c.where("not cited and missing = 0").withColumn("r", best).where("r <= 6").drop("r").withColumn("pass", F.lit(2))
+    return one.unionByName(two).select("id", "k", "n", "pass", F.round("covered", 6).alias("covered"))
+
+
 @q("rul10_citation_decisions", f"{COVERED} SELECT id, k, round(max(covered), 6) AS best, CASE WHEN max(covered) >= 0.6 THEN 'keep' WHEN max(covered) >= 0.3 THEN 'check' ELSE 'remove' END AS decision, arg_min(n, (-round(covered, 9), n)) AS excerpt FROM cov GROUP BY id, k")
 def rul10(spark, d):
     c = citations.coverage(results(spark, d), chunks(spark, d)).groupBy("id", "k").agg(F.max("covered").alias("b"), F.max(F.struct(F.round("covered", 9), -F.col("n"))).alias("m"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import lexical, vectors
+from sparkloom.operators import citations, lexical, vectors
 from sparkloom.plans.base import ASKED, CHUNKS, RESULTS, TURNS, asked, chunks, results, sql_replaced, turns
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.search import FUSED, NEIGHBOURS, docs_of, fused, neighbours, queries_of, sql_bm25, sql_top
@@ -20,6 +20,7 @@ q = REGISTRY.add
 
 # Mixed-language question words and their English ones.
 HINGLISH = [(r"\b(kitna|kitni|kitne)\b", "how much"), (r"\bkaise\b", "how"), (r"\bkya\b", "what"), (r"\bkab\b", "when"), (r"\bkahan\b", "where"), (r"\bchahiye\b", "is needed")]
+# Designations written with a colon, a dash or in small letters.
 NUMBERS = [(r"\b(?:IS|is)[\-:]?(\d{3,5})\b", "IS {1}"), (r"\bIS\s*[\-:]\s*(\d{2,5})\b", "IS {1}")]
 
 
@@ -74,6 +75,24 @@ def str17(spark, d):
     return results(spark, d).where("answer is not null").select("id", t.alias("tidy"))
 
 
+_HEADING = "'\\s*(#+\\s.*|(\\d+\\.\\s+)?\\*\\*[^*]+\\*\\*:?)\\s*'"
+
+
+@q(
+    "str17_without_empty_parts",
+    f"""WITH {RESULTS}, l AS (SELECT id, unnest(range(1, len(string_split(answer, chr(10))) + 1)) - 1 AS p, unnest(string_split(answer, chr(10))) AS line FROM results WHERE answer IS NOT NULL),
+    r AS (SELECT *, starts_with(ltrim(line), '|') AS tab FROM l), g AS (SELECT *, sum(CASE WHEN tab THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY p) AS run FROM r),
+    f AS (SELECT *, p > min(p) OVER (PARTITION BY id, run, tab) AND NOT regexp_matches(line, '^\\s*\\|?\\s*:?-{{3,}}') AND regexp_replace(line, '(?i)[|\\s\\-–—:]|\\[\\d+\\]|n/?a', '', 'g') <> '' AS says FROM g),
+    t AS (SELECT id, p, line FROM (SELECT *, bool_or(says) OVER (PARTITION BY id, run, tab) AS spoken FROM f) WHERE NOT tab OR spoken),
+    h AS (SELECT *, regexp_full_match(line, {_HEADING}) AS head FROM t), n AS (SELECT *, first_value(CASE WHEN trim(line) <> '' THEN head END IGNORE NULLS) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM h)
+    SELECT id, p AS line_no, line FROM n WHERE NOT head OR NOT coalesce(after, true)""",
+)
+def str17_parts(spark, d):
+    """The lines of answers without tables that lost their rows and headings that nothing follows."""
+    lines = citations.without_empty_tables(results(spark, d), "id", "answer")
+    return citations.without_empty_headings(lines).select("id", F.col("p").cast("long").alias("line_no"), "line")
+
+
 @q("fil10_categories", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN starts_with(source_id, 'qco_') OR starts_with(source_id, 'scheme') THEN 'qco' WHEN starts_with(source_id, 'hm_') THEN 'hallmarking' WHEN starts_with(source_id, 'help_') THEN 'consumer' WHEN doc_type IN ('act', 'rule', 'regulation') THEN 'law' ELSE 'certification' END AS category FROM chunks")
 def fil10(spark, d):
     begins = lambda *p: reduce(lambda a, b: a | b, (F.col("source_id").startswith(x) for x in p))
