@@ -18,10 +18,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK = 256
 
 
-def tokenised(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, tokens, dl): the documents with at least one token."""
-    t = df.select(F.col(id_col).alias("id"), T.tokens(text).alias("tokens"))
-    return t.withColumn("dl", F.size("tokens")).where("dl > 0")
+def tokenised(df: DataFrame, id_col: str, **texts: Column) -> dict[str, DataFrame]:
+    """(id, tokens, dl) of the documents with at least one token, for each of ``texts``.
+
+    All are cut into tokens in one pass and written once, as statistics, vocabulary and postings read them; lengths are asked of what is
+    written, as a filter on them would be moved below the tokens and work them out twice.
+    """
+    written = cut(df.select(F.col(id_col).alias("id"), *(T.tokens(text).alias(name) for name, text in texts.items())))
+    return {name: written.select("id", F.col(name).alias("tokens"), F.size(name).alias("dl")).where("dl > 0") for name in texts}
 
 
 def collection_stats(docs: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     stats = collection_stats(docs)
     idf = inverse_frequencies(docs, stats)
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = broadcast_if_small(wanted.join(idf, "term"))
+    asked = broadcast_if_small(cut(wanted.join(idf, "term")))
     terms = asked.select("term").distinct()
     postings = docs.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     weighted = postings.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))

@@ -48,46 +48,64 @@ def associations(wins: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "co", "npmi", "ppmi"))
 
 
-def row_products(rows: DataFrame, block: int = 512) -> DataFrame:
-    """(a, b, sim): the products of all rows of a sparse matrix (a, c, v) with each other, where positive.
+def best_rows(rows: DataFrame, top: int, least: float, block: int = 512) -> DataFrame:
+    """(a, b, score): of each row of a sparse matrix (a, c, v, npmi) the ``top`` others of the highest score of at least ``least``, ties by b.
 
-    Joined entry by entry, frequent columns would give the square of their entries; so rows and columns are cut into blocks of about
-    ``block`` terms and each task multiplies one block of rows with another over one block of columns, as small dense matrices.
+    A score is half the product of the two rows, half the clipped npmi of their names (that of the entry at (a, b)). Joined entry by entry,
+    frequent columns would give the square of their entries; so rows are cut into blocks of about ``block`` terms, each pair of blocks is
+    multiplied once, some columns at a time, for both directions, and only the best of each row leave the task.
     """
     n = max(1, -(-rows.select("a").distinct().count() // block))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    cut_rows = rows.select("a", "c", "v", of("a").alias("own"), of("c").alias("col"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = cut_rows.select("a", "c", "v", F.col("own").alias("i"), every.alias("j"), "col")
-    right = cut_rows.select("a", "c", "v", every.alias("i"), F.col("own").alias("j"), "col")
+    of = F.pmod(F.xxhash64("a"), F.lit(n)).cast("int")
+    entries = ["a", "c", "v", "npmi"]
+    left = rows.select(*entries, of.alias("i")).select(*entries, "i", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j"))
+    right = rows.select(*(F.col(c).alias(c) for c in entries), of.alias("j")).select(*entries, F.explode(F.sequence(F.lit(0), F.col("j"))).alias("i"), "j")
+
+    def picked(score: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        """The best of each row of ``score``; the columns are in the order of b."""
+        rounded = np.round(score, 6)
+        at = np.argsort(-rounded, axis=1, kind="stable")[:, :top]
+        i = np.repeat(np.arange(len(a)), at.shape[1])
+        j = at.ravel()
+        ok = score[i, j] >= least
+        return pd.DataFrame({"a": a[i[ok]], "b": b[j[ok]], "score": score[i[ok], j[ok]]})
 
     def multiplied(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "str", "b": "str", "score": "float64"})
+        na, nb = pd.Index(sorted(x["a"].unique())), pd.Index(sorted(y["a"].unique()))
         columns = pd.Index(x["c"].unique()).intersection(y["c"].unique())
-        x, y = x[x["c"].isin(columns)], y[y["c"].isin(columns)]
-        dense = []
-        for part in (x, y):
-            names = pd.Index(part["a"].unique())
-            m = np.zeros((len(names), len(columns)))
-            m[names.get_indexer(part["a"]), columns.get_indexer(part["c"])] = part["v"]
-            dense.append((names, m))
-        (na, ma), (nb, mb) = dense
-        product = ma @ mb.T
-        i, j = np.nonzero(product > 0)
-        return pd.DataFrame({"a": na[i], "b": nb[j], "sim": product[i, j]})
-
-    keys = ("i", "j", "col")
-    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiplied, "a string, b string, sim double")
-    return part.groupBy("a", "b").agg(F.sum("sim").alias("sim"))
+        product = np.zeros((len(na), len(nb)))
+        at = [(p, names.get_indexer(p["a"]), columns.get_indexer(p["c"])) for p, names in ((x, na), (y, nb))]
+        for k in range(0, len(columns), 8 * block):
+            dense = []
+            for (p, row, col), names in zip(at, (na, nb), strict=True):
+                inside = (col >= k) & (col < k + 8 * block)
+                m = np.zeros((len(names), min(8 * block, len(columns) - k)))
+                m[row[inside], col[inside] - k] = p["v"].to_numpy()[inside]
+                dense.append(m)
+            product += dense[0] @ dense[1].T
+        near = np.zeros_like(product)
+        beside = nb.get_indexer(x["c"])
+        near[na.get_indexer(x["a"])[beside >= 0], beside[beside >= 0]] = x["npmi"].to_numpy()[beside >= 0]
+        score = 0.5 * product + 0.5 * np.clip(near, 0.0, 1.0)
+        same = nb.get_indexer(na)
+        score[np.flatnonzero(same >= 0), same[same >= 0]] = -1.0
+        a, b = na.to_numpy(object), nb.to_numpy(object)
+        out = [picked(score, a, b)]
+        if x["i"].iloc[0] != x["j"].iloc[0]:
+            out.append(picked(score.T, b, a))
+        return pd.concat(out)
+
+    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiplied, "a string, b string, score double")
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("score", 6)), "b")
+    return part.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).drop("k")
 
 
 def related(assoc: DataFrame, top: int = 8, least: float = 0.15) -> DataFrame:
     """(term, related, score): half the cosine of the association rows, half the clipped npmi; the best ``top`` of at least ``least``."""
-    assoc = cut(assoc)
-    rows = assoc.where("ppmi > 0").select("a", "b", "ppmi")
+    # An entry without ppmi has no positive npmi either.
+    rows = cut(assoc.where("ppmi > 0").select("a", "b", "ppmi", "npmi"))
     size = rows.groupBy("a").agg(F.sqrt(F.sum(F.col("ppmi") * F.col("ppmi"))).alias("size"))
-    unit = cut(rows.join(size, "a").select("a", F.col("b").alias("c"), (F.col("ppmi") / (F.col("size") + 1e-9)).alias("v")))
-    sim = row_products(unit).where("a != b")
-    both = sim.join(assoc.select("a", "b", "npmi"), ["a", "b"], "full").na.fill(0.0, ["sim", "npmi"])
-    score = 0.5 * F.col("sim") + 0.5 * F.least(F.greatest(F.col("npmi"), F.lit(0.0)), F.lit(1.0))
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("score", 6)), "b")
-    return both.withColumn("score", score).withColumn("k", F.row_number().over(w)).where(f"k <= {top} and score >= {least}").select(F.col("a").alias("term"), F.col("b").alias("related"), "score")
+    unit = cut(rows.join(size, "a").select("a", F.col("b").alias("c"), (F.col("ppmi") / (F.col("size") + 1e-9)).alias("v"), "npmi"))
+    return best_rows(unit, top, least).select(F.col("a").alias("term"), F.col("b").alias("related"), "score")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import segments
 from sparkloom.plans.base import CHUNKS, chunks, in_ranges
 from sparkloom.plans.registry import Registry
-from sparkloom.runtime import broadcast_if_small, table
+from sparkloom.runtime import broadcast_if_small, cut, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
@@ -111,7 +111,7 @@ def fil24(spark, d):
 
 @q("joi10_chunks_with_documents", f"WITH {CHUNKS}, p AS (SELECT source_id, max(path) AS path FROM parsed GROUP BY source_id) SELECT chunk_id, coalesce(path, '') AS path FROM chunks LEFT JOIN p USING (source_id)")
 def joi10(spark, d):
-    p = table(spark, d, "parsed").groupBy("source_id").agg(F.max("path").alias("path"))
+    p = cut(table(spark, d, "parsed").groupBy("source_id").agg(F.max("path").alias("path")))
     return chunks(spark, d).join(broadcast_if_small(p), "source_id", "left").select("chunk_id", F.coalesce("path", F.lit("")).alias("path"))
 
 
@@ -125,7 +125,7 @@ def joi15(spark, d):
 
 @q("joi16_pages_with_a_download", f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE url IN (SELECT url FROM download WHERE status = 'downloaded')")
 def joi16(spark, d):
-    got = table(spark, d, "download").where("status = 'downloaded'").select("url").distinct()
+    got = cut(table(spark, d, "download").where("status = 'downloaded'").select("url").distinct())
     return chunks(spark, d).join(broadcast_if_small(got), "url", "left_semi").select("chunk_id")
 
 
@@ -141,6 +141,19 @@ def joi17(spark, d):
     return c.join(known, "key", "left").select("chunk_id", F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+@q(
+    "joi17_cached_lines",
+    f"""WITH {CHUNKS}, known AS (SELECT DISTINCT sha256('m:' || line) AS key FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE length(line) >= 20),
+    l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line FROM chunks WHERE text IS NOT NULL) SELECT chunk_id, count(*) AS lines, count(key) AS cached FROM l LEFT JOIN known ON sha256('m:' || line) = key WHERE length(line) >= 20 GROUP BY chunk_id""",
+)
+def joi17_lines(spark, d):
+    """How many of each chunk's lines a cache filled from the documents' lines, keyed by a digest of model and text, would already hold."""
+    lines = lambda t, *keep: t.where("text is not null").select(*keep, F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 20").select(*keep, F.sha2(F.concat(F.lit("m:"), "line"), 256).alias("key"))
+    known = lines(table(spark, d, "documents")).distinct().withColumn("hit", F.lit(1))
+    asked = lines(chunks(spark, d), "chunk_id")
+    return asked.join(known, "key", "left").groupBy("chunk_id").agg(F.count("*").alias("lines"), F.count("hit").alias("cached"))
+
+
 @q("joi19_source_page_counts", f"WITH {CHUNKS}, n AS (SELECT source_id, count(*) AS chunks, count(DISTINCT page) AS pages FROM chunks GROUP BY source_id), p AS (SELECT source_id, max(title) AS title FROM parsed GROUP BY source_id) SELECT source_id, title, coalesce(chunks, 0) AS chunks, coalesce(pages, 0) AS pages FROM p LEFT JOIN n USING (source_id)")
 def joi19(spark, d):
     n = chunks(spark, d).groupBy("source_id").agg(F.count("*").alias("chunks"), F.count_distinct("page").alias("pages"))
@@ -150,17 +163,16 @@ def joi19(spark, d):
 
 @q("joi9_prefix_schemes", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN starts_with(source_id, 'guide_') THEN 'I' WHEN starts_with(source_id, 'fmcs_') THEN 'FMCS' WHEN starts_with(source_id, 'hm_') THEN 'Hallmarking' WHEN starts_with(source_id, 'scheme1_products_table') THEN 'I' WHEN starts_with(source_id, 'cert_') THEN 'I' ELSE 'general' END AS scheme FROM chunks")
 def joi9(spark, d):
-    """The first matching prefix names the scheme: an ordered prefix dimension, of fixed size, joined as a broadcast range."""
-    dims = spark.createDataFrame([("guide_", "I", 1), ("fmcs_", "FMCS", 2), ("hm_", "Hallmarking", 3), ("scheme1_products_table", "I", 4), ("cert_", "I", 5)], "prefix string, scheme string, ord int")
-    c = chunks(spark, d).select("chunk_id", "source_id")
-    hit = c.join(F.broadcast(dims), F.col("source_id").startswith(F.col("prefix")), "left")
-    return hit.groupBy("chunk_id").agg(F.coalesce(F.min_by("scheme", "ord"), F.lit("general")).alias("scheme"))
+    """The first matching prefix names the scheme."""
+    starts = F.col("source_id").startswith
+    scheme = F.when(starts("guide_"), "I").when(starts("fmcs_"), "FMCS").when(starts("hm_"), "Hallmarking").when(starts("scheme1_products_table"), "I").when(starts("cert_"), "I").otherwise("general")
+    return chunks(spark, d).select("chunk_id", scheme.alias("scheme"))
 
 
-@q("agg2_ordered_ids", f"WITH {CHUNKS} SELECT source_id, string_agg(chunk_id, ' ' ORDER BY chunk_id) AS ids FROM chunks WHERE source_id <> 'conformity_regulations' GROUP BY source_id")
+@q("agg2_ordered_ids", f"WITH {CHUNKS} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) - 1 AS ordinal, chunk_id FROM chunks")
 def agg2(spark, d):
-    c = chunks(spark, d).where("source_id != 'conformity_regulations'")
-    return c.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), " ").alias("ids"))
+    """Every source's ids in order, the largest source's too, as rows: no source is gathered."""
+    return ordinals(chunks(spark, d).select("chunk_id", "source_id")).select("source_id", F.col("ordinal").cast("long").alias("ordinal"), "chunk_id")
 
 
 @q("agg3_counts_by_type", f"WITH {CHUNKS} SELECT doc_type, scheme, count(*) AS n FROM chunks GROUP BY doc_type, scheme")
@@ -258,7 +270,7 @@ def agg2_blocks(spark, d):
 def win11(spark, d):
     c = ordinals(chunks(spark, d).select("chunk_id", "source_id")).withColumn("k", F.col("ordinal") + 1)
     n = c.groupBy("source_id").agg(F.count("*").alias("n"))
-    return c.join(broadcast_if_small(n), "source_id").where("k in (1, n div 2 + 1, n)").select("source_id", "chunk_id", F.col("k").cast("long").alias("k"))
+    return c.join(n, "source_id").where("k in (1, n div 2 + 1, n)").select("source_id", "chunk_id", F.col("k").cast("long").alias("k"))
 
 
 @q(

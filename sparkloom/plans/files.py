@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.base import CHUNKS, chunks
 from sparkloom.plans.registry import Registry
-from sparkloom.runtime import checkpoint_dir, table
+from sparkloom.runtime import checkpoint_dir, cut, table
 from sparkloom.sources import files, html
 from sparkloom.streaming import jobs
 
 REGISTRY = Registry()
 q = REGISTRY.add
+#: Postings in a bucket of the index.
+POSTINGS = 2_000_000
 
 
 def folder(spark) -> str:
@@ -43,15 +45,14 @@ def snk2(spark, d):
     return both.select(F.regexp_extract("origin", "([^/]+)$", 1).alias("family"), "key", "name", extras.alias("extras"))
 
 
-@q("snk4_published_version", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 2 = 1 GROUP BY label")
+@q("snk4_published_version", "SELECT label, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM embeddings GROUP BY label")
 def snk4(spark, d):
-    """Two versions published one after the other; the reader sees the second."""
+    """Two versions of the whole table published one after the other, the first with other keys; the reader sees the second."""
     root = folder(spark)
-    e = table(spark, d, "embeddings")
-    files.publish(e.where("vec_id % 2 = 0"), root)
-    files.publish(e.where("vec_id % 2 = 1"), root)
-    files.publish(e.where("false"), root)
-    return spark.read.parquet(files.current(spark, root)).groupBy("label").agg(F.count("*").alias("n"))
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    files.publish(e.withColumn("vec_id", F.col("vec_id") + 1), root)
+    files.publish(e, root)
+    return spark.read.parquet(files.current(spark, root)).groupBy("label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("total"))
 
 
 @q("snk4_published_whole", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -66,49 +67,96 @@ def snk4_whole(spark, d):
 
 @q("snk3_bm25_index", f"WITH {CHUNKS}, t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE text IS NOT NULL) SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, count(*) AS tf FROM t GROUP BY ALL) GROUP BY term")
 def snk3(spark, d):
-    """Postings written partitioned for look-ups by term, and read again."""
+    """Postings written partitioned for look-ups by term, and read again; buckets grow in number with the postings."""
     path = folder(spark)
     t = chunks(spark, d).where("text is not null").select("chunk_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    postings = t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(8)))
-    postings.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    postings = cut(t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")))
+    buckets = max(1, -(-postings.count() // POSTINGS))
+    hashed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    # A frequent term's postings are dealt out over files by the chunk, so that no task holds a term.
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+    hashed.repartition(4 * buckets, "bucket", salt).write.partitionBy("bucket").parquet(path)
     return spark.read.parquet(path).groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
 
 
+#: What Python's str.split takes for white space within a line.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _ROWS = "regexp_extract_all(text, '(?m)^\\| (IS [^|\\n]+ \\| [^|\\n]+ \\| Rs\\. [\\d,]+) \\|$', 1)"
 
 
 @q(
     "src8_table_grids",
-    f"""WITH {CHUNKS}, t AS (SELECT chunk_id, {_ROWS} AS rows FROM chunks WHERE text IS NOT NULL), k AS (SELECT chunk_id, list_concat(['Standard | Standard | Fee'], rows) AS rows FROM t WHERE len(rows) > 0),
-    r AS (SELECT chunk_id, unnest(range(0, len(rows))) AS r, unnest(rows) AS line FROM k) SELECT chunk_id AS id, CAST(r AS INTEGER) AS row, CAST(unnest(range(0, 3)) AS INTEGER) AS col, unnest(string_split(line, ' | ')) AS cell FROM r""",
+    f"""WITH {CHUNKS}, t AS (SELECT chunk_id, source_id, {_ROWS} AS rows FROM chunks WHERE text IS NOT NULL), k AS (SELECT chunk_id, list_concat(['Source | Standard | Standard | Fee'], [source_id || ' | ' || x FOR x IN rows]) AS rows FROM t WHERE len(rows) > 0),
+    r AS (SELECT chunk_id, unnest(range(0, len(rows))) AS r, unnest(rows) AS line FROM k) SELECT chunk_id AS id, CAST(r AS INTEGER) AS row, CAST(unnest(range(0, 4)) AS INTEGER) AS col, unnest(string_split(line, ' | ')) AS cell FROM r""",
 )
 def src8(spark, d):
-    """The tables of web pages as HTML with a heading over two columns, expanded to grids."""
+    """The tables of web pages as HTML, with a heading over two columns and the source over all rows, expanded to grids."""
     c = chunks(spark, d).where("text is not null")
     rows = F.regexp_extract_all("text", F.lit(r"(?m)^\| (IS [^|\n]+ \| [^|\n]+ \| Rs\. [\d,]+) \|$"), F.lit(1))
-    body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr><td>"), F.replace(r, F.lit(" | "), F.lit("</td><td>")), F.lit("</td></tr>"))), "")
-    page = F.concat(F.lit("<table><tr><th colspan=2>Standard</th><th>Fee</th></tr>"), body, F.lit("</table>"))
+    source = F.concat(F.lit("<td rowspan="), F.size(rows).cast("string"), F.lit(">"), "source_id", F.lit("</td>"))
+    row = lambda r, k: F.concat(F.lit("<tr>"), F.when(k == 0, source).otherwise(""), F.lit("<td>"), F.replace(r, F.lit(" | "), F.lit("</td><td>")), F.lit("</td></tr>"))
+    page = F.concat(F.lit("<table><tr><th>Source</th><th colspan=2>Standard</th><th>Fee</th></tr>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
     t = c.select("chunk_id", rows.alias("rows"), page.alias("html")).where("size(rows) > 0")
     return html.cells(t, "chunk_id", "html").select("id", "row", "col", "cell")
 
 
+@q(
+    "src9_scraped_records",
+    f"""WITH {CHUNKS}, t AS (SELECT chunk_id, source_id, {_ROWS} AS rows FROM chunks WHERE text IS NOT NULL), r AS (SELECT chunk_id, source_id, unnest(range(0, len(rows))) AS k, string_split(unnest(rows), ' | ') AS c FROM t),
+    f AS (SELECT chunk_id, source_id, c[1] AS is_number, c[2] AS product, c[3] AS fee, k, row_number() OVER (PARTITION BY chunk_id, c[1], c[2] ORDER BY k) AS n FROM r)
+    SELECT chunk_id, source_id AS category, is_number, product, fee, 'https://x.example/f/' || k || '.pdf' AS links FROM f WHERE n = 1""",
+)
+def src9(spark, d):
+    """Pages with the chunk's table twice, a group's heading and a footnote over all columns, and a link in each row: the records come out once."""
+    c = chunks(spark, d).where("text is not null")
+    rows = F.regexp_extract_all("text", F.lit(r"(?m)^\| (IS [^|\n]+ \| [^|\n]+ \| Rs\. [\d,]+) \|$"), F.lit(1))
+    row = lambda r, k: F.concat(F.lit("<tr><td>"), F.replace(r, F.lit(" | "), F.lit("</td><td>")), F.lit("<a href='/f/"), k.cast("string"), F.lit(".pdf'></a></td></tr>"))
+    one = F.concat(F.lit("<table><tr><th>IS No.</th><th>Product</th><th>Fee</th></tr><tr><td colspan=3>"), "source_id", F.lit("</td></tr><tr><td colspan=3>* as revised</td></tr>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
+    t = c.select(F.concat(F.lit("https://x.example/"), "chunk_id").alias("url"), rows.alias("rows"), F.concat(one, one).alias("html")).where("size(rows) > 0")
+    r = html.scraped(t, "url", "html")
+    return r.select(F.replace("url", F.lit("https://x.example/"), F.lit("")).alias("chunk_id"), "category", *(F.col("fields")[c].alias(c) for c in ("is_number", "product", "fee")), F.array_join("links", " ").alias("links"))
+
+
+@q(
+    "src7_page_markdown",
+    f"WITH {CHUNKS}, l AS (SELECT chunk_id, [trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ') FOR x IN string_split(text, chr(10))] AS lines FROM chunks WHERE page IS NULL AND text IS NOT NULL) SELECT chunk_id, '# Page' || chr(10) || chr(10) || array_to_string(list_concat([x FOR x IN lines IF x <> ''], ['[' || chunk_id || '](https://x.example/f.pdf)']), chr(10) || chr(10)) AS markdown FROM l",
+)
+def src7(spark, d):
+    """Pages of the whole texts of web chunks with a menu, a breadcrumb list and a footer, as markdown with absolute links."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<h1>Page</h1><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p><p><a href='/f.pdf'>"), "chunk_id", F.lit("</a></p>"))
+    page = F.concat(F.lit("<html><body><nav><a href='/x'>Menu of this site</a></nav><ul><li>Home</li><li>/</li><li>Page</li></ul><div>"), body, F.lit("</div><footer>All rights reserved.</footer></body></html>"))
+    c = chunks(spark, d).where("page is null and text is not null").select("chunk_id", F.concat(F.lit("https://x.example/p/"), "chunk_id").alias("url"), page.alias("html"))
+    return html.markdown(c, "url", "html").select(F.replace("url", F.lit("https://x.example/p/"), F.lit("")).alias("chunk_id"), "markdown")
+
+
+@q(
+    "src10_links_of_the_section",
+    "WITH u AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM download WHERE regexp_full_match(url, 'https?://[a-z.]+(/[A-Za-z0-9._-]+)+/?([?#].*)?')), f AS (SELECT url, regexp_replace(regexp_replace(url, '/+$', ''), '[^/]*$', '') AS folder FROM u) SELECT url, folder || 'beside/ ' || folder || 'other' AS links FROM f",
+)
+def src10(spark, d):
+    """Of each page's links those to pages beside it: not deeper ones, other folders, files, other hosts, the page itself, or repeats."""
+    url = F.regexp_replace("url", r"[?#].*$", "")
+    u = table(spark, d, "download").where(F.col("url").rlike(r"^https?://[a-z.]+(/[A-Za-z0-9._-]+)+/?([?#].*)?$")).select(url.alias("url")).distinct()
+    folder = F.regexp_replace(F.regexp_replace("url", "/+$", ""), "[^/]*$", "")
+    link = lambda *p: F.concat(F.lit("<a href='"), *p, F.lit("'>x</a>"))
+    page = F.concat(link(folder, F.lit("beside/?lang=en")), link(folder, F.lit("beside/deeper/")), link(folder, F.lit("other#part")), link(folder), link(F.col("url")), link(folder, F.lit("doc.PDF")), link(F.lit("https://elsewhere.example/other")), link(folder, F.lit("other")), link(F.lit("mailto:a@b.example")))
+    return html.pages(u.select("url", page.alias("html")), "url", "html").select("url", F.array_join("links", " ").alias("links"))
+
+
 @q(
     "src6_main_text_of_pages",
-    f"WITH {CHUNKS} SELECT chunk_id AS url, trim(regexp_replace(regexp_replace(string_split(text, chr(10))[-1], '\\s+', ' ', 'g'), '[<>&]', ' ', 'g')) AS text FROM chunks WHERE page IS NULL AND length(trim(regexp_replace(string_split(text, chr(10))[-1], '\\s+', ' ', 'g'))) > 60 AND NOT regexp_matches(text, '[<>&]') AND ascii(text) < 128 AND regexp_full_match(string_split(text, chr(10))[-1], '[ -~]*')",
+    f"WITH {CHUNKS}, l AS (SELECT chunk_id, array_to_string([x FOR x IN [trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ') FOR x IN string_split(text, chr(10))] IF x <> ''], chr(10)) AS t FROM chunks WHERE page IS NULL AND text IS NOT NULL) SELECT chunk_id AS url, CASE WHEN length(t) > 50 THEN t WHEN t = '' THEN 'Loading' ELSE 'Loading' || chr(10) || t END AS text FROM l",
 )
 def src6(spark, d):
-    """Pages put together from the last lines of web chunks, with a menu and a footer, and read again: only the main text comes out."""
-    last = F.trim(F.regexp_replace(F.try_element_at(F.split("text", "\n"), F.lit(-1)), r"\s+", " "))
-    c = chunks(spark, d).where("page is null").where(~F.col("text").rlike("[<>&]") & (F.ascii("text") < 128)).select("chunk_id", last.alias("last")).where(F.length("last") > 60)
-    c = c.where(F.col("last").rlike(r"^[ -~]*$"))
-    page = F.concat(F.lit("<html><body><nav><a href='/x'>Menu of this site</a></nav><main><p>"), "last", F.lit("</p></main><footer>All rights reserved by the site, as always.</footer></body></html>"))
+    """Pages of the whole texts whose main element says too little: the article is taken, and the body where that says too little too."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    page = F.concat(F.lit("<html><body><nav><a href='/x'>Menu of this site</a></nav><main><p>Loading</p></main><article>"), body, F.lit("</article><footer>All rights reserved by the site, as always.</footer></body></html>"))
+    c = chunks(spark, d).where("page is null and text is not null")
     return html.pages(c.select("chunk_id", page.alias("html")), "chunk_id", "html").select("url", "text")
 
 
-#: What Python's str.split takes for white space within a line.
-_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
 @q(
     "src6_main_text_of_whole_pages",
     f"WITH {CHUNKS}, l AS (SELECT chunk_id, [trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ') FOR x IN string_split(text, chr(10))] AS lines FROM chunks WHERE page IS NULL AND text IS NOT NULL) SELECT chunk_id AS url, array_to_string([x FOR x IN lines IF x <> ''], chr(10)) AS text FROM l",

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import citations, lexical, vectors
+from sparkloom.operators import citations, fusion, lexical, vectors
 from sparkloom.plans.base import ASKED, CHUNKS, RESULTS, TURNS, asked, chunks, results, sql_replaced, turns
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.search import FUSED, NEIGHBOURS, docs_of, fused, neighbours, queries_of, sql_bm25, sql_top
 from sparkloom.plans.scalars import SQL_EMBED
-from sparkloom.runtime import table
+from sparkloom.runtime import cut, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
@@ -123,6 +123,35 @@ def top7(spark, d):
     return lexical.top(fused(spark, d), 8).select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Dimensions of the vectors that words are counted into.
+DIMS = 64
+_SQL_VECTOR = lambda source, key, text: f"SELECT {key}, [{', '.join(f'count(*) FILTER (dim = {k})::DOUBLE' for k in range(DIMS))}] AS v FROM (SELECT {key}, CAST(ascii(substr(md5(w), 1, 1)) * 7 + ascii(substr(md5(w), 2, 1)) * 31 + ascii(substr(md5(w), 3, 1)) AS INT) % {DIMS} AS dim FROM (SELECT {key}, unnest(list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]{{3,}}'))) AS w FROM {source} WHERE {text} IS NOT NULL)) GROUP BY {key}"
+
+
+def counted_words(text: str) -> Column:
+    """A vector of ``DIMS`` dimensions: the text's distinct words, each counted in the dimension that its digest names."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), F.lit(1)))
+    at = lambda w, k: F.ascii(F.substring(F.md5(w), k, 1))
+    dims = F.transform(words, lambda w: (at(w, 1) * 7 + at(w, 2) * 31 + at(w, 3)) % DIMS)
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.size(F.filter(dims, lambda x: x == k)).cast("double"))
+
+
+@q(
+    "top7_hybrid_with_vectors",
+    f"""WITH {CHUNKS}, {ASKED}, {sql_bm25('whole', SQL_EMBED)}, {sql_top('lexical', 'whole', 20)}, cv AS ({_SQL_VECTOR('chunks', 'chunk_id', 'text')}), qv AS ({_SQL_VECTOR('asked', 'query_id', 'question')}),
+    near AS (SELECT query_id, chunk_id AS id, list_cosine_similarity(cv.v, qv.v) AS score FROM cv, qv), {sql_top('closest', 'near', 20)},
+    f AS (SELECT query_id, id, sum(1 / (61.0::DOUBLE + rank)) AS score FROM (SELECT query_id, id, rank FROM lexical UNION ALL SELECT query_id, id, rank FROM closest) GROUP BY ALL), {sql_top('hybrid', 'f', 8)} SELECT query_id, id AS chunk_id, rank FROM hybrid""",
+)
+def top7_vectors(spark, d):
+    """A lexical list and a vector list of 20 each, fused; the vectors are those of the words."""
+    c = cut(chunks(spark, d).where("text is not null").select(F.col("chunk_id").alias("id"), T.tokens(T.embed_text(F.col("title"), F.col("section"), F.col("text"))).alias("tokens"), counted_words("text").alias("v")))
+    asks = cut(asked(spark, d).select("query_id", T.tokens(F.col("question")).alias("tokens"), counted_words("question").alias("v")))
+    first = lexical.search(c.select("id", "tokens", F.size("tokens").alias("dl")).where("dl > 0"), asks.select("query_id", "tokens"), 20)
+    said = "exists(v, x -> x > 0)"
+    near = vectors.nearest(c.where(said).select(F.col("id").alias("chunk_id"), "v"), asks.where(said).select("query_id", "v"), "chunk_id", "v", 20)
+    return lexical.top(fusion.reciprocal_rank(first, near), 8).select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
+
+
 @q("rul11_evidence", f"WITH {CHUNKS}, {ASKED}, {sql_bm25('whole', SQL_EMBED)}, {sql_top('best', 'whole', 3)}, {NEIGHBOURS} SELECT query_id, b.id AS chunk_id, CAST(length(concat_ws(' ', p.text, c.text, n.text)) AS BIGINT) AS evidence_chars, md5(concat_ws(' ', p.text, c.text, n.text)) AS evidence FROM best b JOIN chunks c ON c.chunk_id = b.id JOIN beside e ON e.chunk_id = b.id LEFT JOIN chunks p ON p.chunk_id = e.previous LEFT JOIN chunks n ON n.chunk_id = e.next")
 def rul11(spark, d):
     """What a citation of a hit may rely on: the chunk with the one before and the one behind."""

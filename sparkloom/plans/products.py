@@ -10,7 +10,7 @@ from sparkloom.operators import fusion
 from sparkloom.plans.base import ASKED, CHUNKS, RESULTS, asked, chunks, results
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.scalars import SQL_NAME_WORDS
-from sparkloom.runtime import broadcast_if_small, table
+from sparkloom.runtime import broadcast_if_small, cut, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
@@ -88,7 +88,7 @@ def overlaps(spark, d) -> DataFrame:
     p = products(spark, d).select("row_id", T.name_words(F.col("name")).alias("w"))
     a = asked(spark, d).select("query_id", F.explode(T.name_words(F.col("question"))).alias("word"))
     index = p.select("row_id", F.size("w").alias("n_words"), F.explode("w").alias("word"))
-    return index.join(broadcast_if_small(a), "word").groupBy("query_id", "row_id", "n_words").agg(F.count("*").alias("shared"))
+    return index.join(broadcast_if_small(cut(a)), "word").groupBy("query_id", "row_id", "n_words").agg(F.count("*").alias("shared"))
 
 
 OVERLAPS = f"""WITH {CHUNKS}, {PRODUCTS}, {ASKED}, idx AS (SELECT row_id, len({SQL_NAME_WORDS('name')}) AS n_words, unnest({SQL_NAME_WORDS('name')}) AS word FROM products), aw AS (SELECT query_id, unnest({SQL_NAME_WORDS('question')}) AS word FROM asked),
@@ -109,7 +109,7 @@ def joi7(spark, d):
     n = asked(spark, d).select("query_id", F.explode(T.name_words(F.col("question"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("query_id").agg(F.count("*").alias("asked_words"))
     w = Window.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("row_id"))
     r = overlaps(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 10")
-    return r.join(broadcast_if_small(n), "query_id").select("query_id", "row_id", F.round(F.col("shared") / F.col("asked_words"), 6).alias("coverage"))
+    return r.join(n, "query_id").select("query_id", "row_id", F.round(F.col("shared") / F.col("asked_words"), 6).alias("coverage"))
 
 
 @q(
@@ -165,10 +165,10 @@ def unique_headers(part: DataFrame, keys: int) -> DataFrame:
     return h.select("p_partkey", F.when(n > 1, F.concat("name", F.lit("_"), k.cast("string"))).otherwise(F.col("name")).alias("header"))
 
 
-@q("str18_header_suffixes", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part WHERE p_partkey % 100 < 10) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 100) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 100 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
+@q("str18_header_suffixes", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 100) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 100 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
 def str18(spark, d):
-    """Column names made unique within a group of ten columns each."""
-    return unique_headers(table(spark, d, "part").where("p_partkey % 100 < 10"), 100)
+    """Column names made unique within groups of a hundred columns."""
+    return unique_headers(table(spark, d, "part"), 100)
 
 
 @q("str18_headers_of_all_parts", "WITH h AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS name FROM part) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY name, p_partkey // 10) > 1 THEN name || '_' || CAST(row_number() OVER (PARTITION BY name, p_partkey // 10 ORDER BY p_partkey) AS VARCHAR) ELSE name END AS header FROM h")
@@ -181,4 +181,4 @@ def str18_all(spark, d):
 def joi18(spark, d):
     """A look-up by two columns."""
     p = table(spark, d, "parsed").select("source_id", F.explode("ocr_pages").alias("page")).distinct()
-    return chunks(spark, d).join(broadcast_if_small(p), ["source_id", "page"]).select("chunk_id")
+    return chunks(spark, d).join(broadcast_if_small(cut(p)), ["source_id", "page"]).select("chunk_id")

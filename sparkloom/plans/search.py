@@ -10,29 +10,32 @@ from sparkloom.operators import fusion, lexical, vectors
 from sparkloom.plans.base import ASKED, CHUNKS, asked, chunks, in_ranges
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.scalars import SQL_EMBED, SQL_TOKENS
-from sparkloom.runtime import cut, table
+from sparkloom.runtime import broadcast_if_small, cut, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
 
 
-def docs_of(spark, d, whole: bool = True) -> DataFrame:
-    c = chunks(spark, d).where("text is not null")
-    text = T.embed_text(F.col("title"), F.col("section"), F.col("text")) if whole else F.col("section")
-    # Statistics, vocabulary and postings all read the tokens: they are written once, as an index is.
-    return cut(lexical.tokenised(c, "chunk_id", text))
+def indexed(spark, d, *names: str) -> dict[str, DataFrame]:
+    """The tokens of the chunks' texts with title and section (``whole``) and of their sections (``heads``), from one pass over the chunks."""
+    texts = {"whole": T.embed_text(F.col("title"), F.col("section"), F.col("text")), "heads": F.col("section")}
+    return lexical.tokenised(chunks(spark, d).where("text is not null"), "chunk_id", **{n: texts[n] for n in names})
+
+
+def docs_of(spark, d) -> DataFrame:
+    return indexed(spark, d, "whole")["whole"]
 
 
 def queries_of(spark, d) -> DataFrame:
     return asked(spark, d).select("query_id", T.tokens(F.col("question")).alias("tokens"))
 
 
-def bm25(spark, d, whole: bool = True) -> DataFrame:
-    return lexical.scores(docs_of(spark, d, whole), queries_of(spark, d))
+def bm25(spark, d) -> DataFrame:
+    return lexical.scores(docs_of(spark, d), queries_of(spark, d))
 
 
-def best(spark, d, n: int, whole: bool = True) -> DataFrame:
-    return lexical.search(docs_of(spark, d, whole), queries_of(spark, d), n)
+def best(spark, d, n: int) -> DataFrame:
+    return lexical.search(docs_of(spark, d), queries_of(spark, d), n)
 
 
 def sql_bm25(name: str, text: str) -> str:
@@ -75,8 +78,8 @@ def search_agent(spark, d):
 
 
 def fused(spark, d) -> DataFrame:
-    lists = [best(spark, d, 30, whole) for whole in (True, False)]
-    return fusion.reciprocal_rank(*lists)
+    docs, queries = indexed(spark, d, "whole", "heads"), cut(queries_of(spark, d))
+    return fusion.reciprocal_rank(*(lexical.search(docs[n], queries, 30) for n in ("whole", "heads")))
 
 
 FUSED = f"{WITH2}, fused AS (SELECT query_id, id, sum(1 / (61.0::DOUBLE + rank)) AS score FROM (SELECT query_id, id, rank FROM top_whole UNION ALL SELECT query_id, id, rank FROM top_heads) GROUP BY ALL)"
@@ -90,7 +93,8 @@ def rrf(spark, d):
 def adjusted(spark, d) -> DataFrame:
     """Fused scores, lowered for table rows and raised for passages about the law, with the chunk's columns."""
     c = chunks(spark, d).select(F.col("chunk_id").alias("id"), "source_id", "doc_type", "scheme", "text")
-    x = fused(spark, d).join(c, "id")
+    # The hits are few (a bounded list for each query): the chunks stay where they are.
+    x = c.join(broadcast_if_small(cut(fused(spark, d))), "id")
     factor = F.when(F.col("doc_type").isin("act", "rule", "regulation"), 1.4).when(F.col("doc_type") == "product_row", 0.25).otherwise(1.0)
     plus = F.when(F.col("scheme") == "general", 0.01).otherwise(0.0)
     return lexical.top(x.withColumn("score", F.col("score") * factor + plus), 30)
@@ -105,6 +109,39 @@ def top3(spark, d):
     return adjusted(spark, d).select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 8).alias("score"))
 
 
+# What asks for a definition, and what names a scheme (fixed values).
+BASIC = r"^\s*(what (is|are|does)\b|define\b|who (is|are)\b)"
+SCHEME_WORDS = [("hallmark", "Hallmarking"), ("foreign|import", "FMCS"), (r"\bscheme[ -]?(x|10)\b", "X"), (r"\bscheme[ -]?(iv|4)\b", "IV"), (r"\bscheme[ -]?(ii|2)\b", "II"), (r"\blicen[cs]e|\bmark\b", "I")]
+_SCHEME = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{s}'" for p, s in SCHEME_WORDS) + " END"
+
+
+@q(
+    "top3_adjusted_in_full",
+    f"""{FUSED}, ask AS (SELECT query_id, regexp_matches(lower(question), '{BASIC}') AS basic, regexp_extract(question, 'IS (\\d{{2,5}})', 1) AS no, {_SCHEME} AS wanted FROM asked),
+    x AS (SELECT query_id, id, score * CASE WHEN basic AND (agent = 'general' OR doc_type = 'faq') THEN 1.6 ELSE 1 END::DOUBLE
+      + CASE WHEN doc_type = 'product_row' AND no <> '' AND regexp_matches(text, 'IS ' || no || '\\b') THEN 0.05 WHEN doc_type = 'product_row' AND no = '' THEN 0.01 ELSE 0 END::DOUBLE AS s, coalesce(scheme, 'general') AS scheme, wanted, source_id FROM fused JOIN chunks ON id = chunk_id JOIN ask USING (query_id)),
+    y AS (SELECT query_id, id, s * CASE WHEN wanted = scheme THEN 1.4 WHEN wanted IS NOT NULL AND scheme <> 'general' AND NOT (ends_with(source_id, '_products_table') OR ends_with(source_id, '_page')) THEN 0.25 ELSE 1 END::DOUBLE AS score FROM x),
+    {sql_top('best', 'y', 30)} SELECT query_id, id AS chunk_id, rank, round(score, 8) AS score FROM best""",
+)
+def top3_full(spark, d):
+    """Fused scores raised for definitions where one is asked for, by a bonus for the table row of the number asked about (a smaller one for
+    rows where none is), raised for the scheme asked about and lowered for any other."""
+    wanted = None
+    for p, name in SCHEME_WORDS:
+        wanted = F.when(F.lower("question").rlike(p), name) if wanted is None else wanted.when(F.lower("question").rlike(p), name)
+    ask = asked(spark, d).select("query_id", F.lower("question").rlike(BASIC).alias("basic"), F.regexp_extract("question", r"IS (\d{2,5})", 1).alias("no"), wanted.alias("wanted"))
+    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), "source_id", "agent", "doc_type", F.coalesce("scheme", F.lit("general")).alias("scheme"), "text")
+    x = c.join(broadcast_if_small(cut(fused(spark, d).join(ask, "query_id"))), "id")
+    row = F.col("doc_type") == "product_row"
+    named = F.regexp_like("text", F.concat(F.lit("IS "), "no", F.lit(r"\b")))
+    basic = F.when(F.col("basic") & ((F.col("agent") == "general") | (F.col("doc_type") == "faq")), 1.6).otherwise(1.0)
+    bonus = F.when(row & (F.col("no") != "") & named, 0.05).when(row & (F.col("no") == ""), 0.01).otherwise(0.0)
+    other = F.col("wanted").isNotNull() & (F.col("scheme") != "general") & ~(F.col("source_id").endswith("_products_table") | F.col("source_id").endswith("_page"))
+    scheme = F.when(F.col("wanted") == F.col("scheme"), 1.4).when(other, 0.25).otherwise(1.0)
+    y = lexical.top(x.withColumn("score", (F.col("score") * basic + bonus) * scheme), 30)
+    return y.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 8).alias("score"))
+
+
 @q("fil3_passing_filters", f"{ADJUSTED} SELECT query_id, id AS chunk_id FROM adjusted WHERE scheme IN ('I', 'general') AND doc_type = 'regulation' AND starts_with(source_id, 'conformity')")
 def fil3(spark, d):
     return adjusted(spark, d).where("scheme in ('I', 'general') and doc_type = 'regulation' and startswith(source_id, 'conformity')").select("query_id", F.col("id").alias("chunk_id"))

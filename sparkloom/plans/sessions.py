@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import keyed
 from sparkloom.plans.base import RESULTS, TURNS, results, turns
 from sparkloom.plans.registry import Registry
-from sparkloom.runtime import table
+from sparkloom.runtime import cut, table
 
 REGISTRY = Registry()
 q = REGISTRY.add
@@ -74,7 +74,8 @@ def rul8(spark, d):
     return turns(spark, d).where("role = 'user' and text is not null").groupBy("session_id").agg(F.min_by("text", "turn_no").alias("first_said"), F.max_by("text", "turn_no").alias("last_said"), F.count("*").alias("n"))
 
 
-_TALK = [("greeting", r"^\s*(hi|hello|hey|namaste|good (morning|evening))\b"), ("thanks", r"\b(thanks|thank you|dhanyavaad)\b"), ("follow_up", r"^\s*(and|what about|and what about)\b"), ("basic", r"^\s*(what (is|are|does)\b|define\b)")]
+# Kinds of talk, the first that fits (fixed values).
+_TALK = [("owner", r"\bwho (made|built|owns|created) (you|this)\b|किसने बनाया"), ("farewell", r"^\s*(bye|goodbye|see you)\b"), ("recall", r"\b(what did i|my (first|last|previous) question|did i (ask|say))\b"), ("refers_back", r"^\s*(it|that|this|these|those|the same)\b|\b(that|this) (one|product|standard)\b"), ("greeting", r"^\s*(hi|hello|hey|namaste|good (morning|evening))\b"), ("thanks", r"\b(thanks|thank you|dhanyavaad)\b"), ("follow_up", r"^\s*(and|what about|and what about)\b"), ("basic", r"^\s*(what (is|are|does)\b|define\b)")]
 
 
 @q("fil16_kinds_of_talk", f"WITH {TURNS} SELECT session_id, turn_no, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in _TALK) + " ELSE 'question' END AS kind FROM turn WHERE text IS NOT NULL")
@@ -96,10 +97,34 @@ def win17(spark, d):
     return keyed.trailing_counts(table(spark, d, "events"), "user_id", "ts", 900).where("n >= 2").select("event_id")
 
 
-@q("agg12_latency_percentiles", "SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, round(quantile_cont(value, 0.5), 6) AS p50 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@q(
+    "agg12_latency_percentiles",
+    """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, min(CASE WHEN k = CAST(ceil(0.95 * n) AS BIGINT) THEN value END) AS p95, min(CASE WHEN k = 1 + CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) THEN value END) AS p95_round,
+    round(avg(CASE WHEN k IN ((n + 1) // 2, n // 2 + 1) THEN value END), 6) AS p50 FROM e GROUP BY event_type""",
+)
 def agg12(spark, d):
-    e = table(spark, d, "events").where("value is not null")
-    return e.groupBy("event_type").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("p50"))
+    """The median and the 95th percentile by both definitions, the value of rank ceil(0.95 n) and that of rank 1 + round(0.95 (n - 1)), halves
+    to even. Ranks come from counts per value, added up by blocks of values, so that no type is sorted in one task."""
+    e = table(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("m"))
+    e = cut(e.repartitionByRange("event_type", "value").withColumn("block", F.spark_partition_id()))
+    per = e.groupBy("event_type", "block").agg(F.sum("m").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("event_type").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("event_type", "block", before.alias("before"), F.sum("held").over(Window.partitionBy("event_type")).alias("n"))
+    inside = F.sum("m").over(Window.partitionBy("event_type", "block").orderBy("value"))
+    r = e.withColumn("upto", inside).join(F.broadcast(per), ["event_type", "block"]).withColumn("upto", F.col("upto") + F.col("before"))
+    of = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
+    n = F.col("n")
+    p = r.groupBy("event_type").agg(of(F.ceil(0.95 * n)).alias("p95"), of(1 + F.bround(0.95 * (n - 1)).cast("long")).alias("p95_round"), of(F.expr("(n + 1) div 2")).alias("a"), of(F.expr("n div 2 + 1")).alias("b"))
+    return p.select("event_type", "p95", "p95_round", F.round((F.col("a") + F.col("b")) / 2, 6).alias("p50"))
+
+
+@q("agg11_means_of_what_is_there", f"WITH {RESULTS} SELECT type, count(*) AS n, count(facts) AS with_facts, round(avg(facts), 6) AS facts, round(avg(cite_valid), 6) AS cite_valid, round(avg(CASE WHEN hit5 THEN 1.0::DOUBLE WHEN NOT hit5 THEN 0 END), 6) AS hit_share FROM results GROUP BY type")
+def agg11_nulls(spark, d):
+    """Means and shares over the rows that have a value; null if none has."""
+    r = results(spark, d)
+    hit = F.avg(F.when(F.col("hit5"), 1.0).when(~F.col("hit5"), 0.0))
+    return r.groupBy("type").agg(F.count("*").alias("n"), F.count("facts").alias("with_facts"), F.round(F.avg("facts"), 6).alias("facts"), F.round(F.avg("cite_valid"), 6).alias("cite_valid"), F.round(hit, 6).alias("hit_share"))
 
 
 @q("joi24_customers_of_orders", "SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")

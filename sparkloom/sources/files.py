@@ -63,14 +63,29 @@ def publish(df: DataFrame, root: str) -> str:
     df.write.parquet(version)
     if spark.read.schema(df.schema).parquet(version).isEmpty():
         return current(spark, root)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/current")
+    number = 1 + max((n for n, _ in _named(spark, root)), default=0)
+    # A folder of its own for each number: where two writers take the same one, the second fails instead of hiding the first.
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("error").json(f"{root}/current/{number:012d}")
     return version
 
 
+def _named(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the versions named so far: a row for each publishing."""
+    found = read_or_none(spark, f"{root}/current", "number long, version string")
+    return [] if found is None else [(r.number, r.version) for r in found.orderBy(F.desc("number")).limit(1).collect()]
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """JSON lines of all folders below ``path``, None if it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+
+
 def current(spark: SparkSession, root: str) -> str:
-    """The path of the version named last."""
-    names = spark.read.schema("version string").json(f"{root}/current").select("version", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"))
-    return names.orderBy(F.desc("at"), F.desc("file")).first()["version"]
+    """The path of the version with the greatest number."""
+    return _named(spark, root)[0][1]
 
 
 def append_log(df: DataFrame, path: str) -> None:

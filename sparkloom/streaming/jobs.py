@@ -31,15 +31,18 @@ def first_deliveries(events: DataFrame, at: str, keys: list[str], late: str = "1
 
 
 def numbered(events: DataFrame, key: str, columns: list[str], schema: str) -> DataFrame:
-    """``no``: a number counted on per key over all batches, kept in state."""
+    """``no``: a number counted on per key over all batches, kept in state.
+
+    Within a micro-batch a key's rows are numbered in the order of ``columns``, all of them, however many Arrow batches they come in; rows
+    of a later micro-batch come after those of earlier ones. A key's rows of one micro-batch are held at once (its columns only): bound
+    them by the rows that a trigger takes.
+    """
 
     def run(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (n,) = state.get if state.exists else (0,)
-        for pdf in batches:
-            pdf = pdf.sort_values(columns)[[key, *columns]]
-            yield pdf.assign(no=range(n + 1, n + 1 + len(pdf)))
-            n += len(pdf)
-        state.update((n,))
+        pdf = pd.concat(pdf[[key, *columns]] for pdf in batches).sort_values(columns, kind="stable")
+        state.update((n + len(pdf),))
+        yield pdf.assign(no=range(n + 1, n + 1 + len(pdf)))
 
     return events.groupBy(key).applyInPandasWithState(run, f"{schema}, no long", "n long", "append", GroupStateTimeout.NoTimeout)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def test_text_functions(spark, f, text, want):
 
 def test_bm25_against_plain_python(spark):
     texts = {1: "licence fee of the lamp", 2: "lamp lamp test", 3: "test of fee fee fee", 4: None, 5: "", 6: "the of"}
-    docs = lexical.tokenised(spark.createDataFrame(list(texts.items()), "doc int, text string").withColumn("dl", F.lit(9)), "doc", F.col("text"))
+    docs = lexical.tokenised(spark.createDataFrame(list(texts.items()), "doc int, text string").withColumn("dl", F.lit(9)), "doc", t=F.col("text"))["t"]
     toks = {k: [w for w in (t or "").split() if w not in T.STOPWORDS] for k, t in texts.items()}
     toks = {k: v for k, v in toks.items() if v}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
@@ -68,7 +69,7 @@ def test_bm25_against_plain_python(spark):
 
 def test_search_gives_the_best_of_all_scores(spark):
     rows = [(k, " ".join(f"w{(k * i) % 17} lamp" if i % 3 else "fee" for i in range(1, 5 + k % 9))) for k in range(300)]
-    docs = lexical.tokenised(spark.createDataFrame(rows, "doc long, text string").repartition(5), "doc", F.col("text"))
+    docs = lexical.tokenised(spark.createDataFrame(rows, "doc long, text string").repartition(5), "doc", t=F.col("text"))["t"]
     asks = spark.createDataFrame([("a", ["fee", "w3", "w3"]), ("b", ["lamp", "w5"]), ("c", ["unseen"]), ("d", [])], "query_id string, tokens array<string>")
     want = {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in lexical.top(lexical.scores(docs, asks), 7).collect()}
     for block in (1, 256):
@@ -99,16 +100,21 @@ def test_vectors(spark):
     assert vectors.nearest(e, asks, "id", "v", None, label="label", least=0.9).count() == 2
 
 
-def test_row_products_equal_a_matrix_product(spark):
-    rows = [(f"r{i}", f"c{j}", float((i * 7 + j * 3) % 5)) for i in range(9) for j in range(6) if (i * 7 + j * 3) % 5]
-    df = spark.createDataFrame(rows, "a string, c string, v double")
-    want = Counter()
-    for a, c, v in rows:
-        for b, e, w in rows:
-            if c == e:
-                want[a, b] += v * w
-    for block in (2, 100):
-        assert {(r.a, r.b): r.sim for r in terms.row_products(df, block).collect()} == pytest.approx(dict(want))
+def test_best_rows_equal_a_matrix_product(spark):
+    rng = random.Random(8)
+    rows = [(f"t{i:02}", f"t{j:02}", rng.random(), 0.25) for i in range(23) for j in range(23) if i != j and rng.random() < 0.6]
+    # Entries come in both directions, as those of a term graph do.
+    have = {(a, c) for a, c, *_ in rows}
+    rows = [(a, c, x, 0.25) for a, c, x, _ in rows if (c, a) in have]
+    df = spark.createDataFrame(rows, "a string, c string, v double, npmi double")
+    v = defaultdict(float, {(a, c): x for a, c, x, _ in rows})
+    names = sorted({a for a, *_ in rows})
+    near, want = {(a, c) for a, c, *_ in rows}, set()
+    for a in names:
+        own = [(-round(0.5 * sum(v[a, c] * v[b, c] for c in names) + (0.125 if (a, b) in near else 0), 6), b) for b in names if b != a]
+        want |= {(a, b) for s, b in sorted(own)[:4] if -s >= 0.15}
+    for block in (3, 100):
+        assert {(r.a, r.b) for r in terms.best_rows(df, 4, 0.15, block).collect()} == want
 
 
 def outline(spark, text, **how):
@@ -195,7 +201,45 @@ def test_html(spark):
     body = "<nav>Menu</nav><main><h1>Title</h1><p>" + "long text " * 8 + "</p></main><a href='b/c'>c</a><a href='https://other.example/'>o</a><a href='d.pdf'>d</a><a href='b/c#x'>c</a>"
     text, links = html.main_text(body)
     assert text.startswith("Title\nlong text") and "Menu" not in text
-    assert html.same_section(links, "https://x.example/s/a") == ["https://x.example/s/b/c"]
+    assert html.same_section(links, "https://x.example/s/a") == []
+    beside = ["/s/f/general/", "/s/f/huid/?lang=en", "/s/f/huid/deeper/", "/other/x/", "/s/f/", "/s/f/doc.pdf", "huid/#x", "../huid/"]
+    assert html.same_section(beside, "https://x.example/s/f/general/?lang=en") == ["https://x.example/s/f/huid/"]
+
+
+def test_scraped_tables(spark):
+    head = "<tr><td>Sr No.</td><td>IS No.</td><td>Product</td><td>Notification</td></tr>"
+    one = head + "<tr><td colspan=3>Feeding Bottles</td><td rowspan=3>Bottles QCO S.O. 1(E) <a href='/q/1.pdf'>x</a></td></tr><tr><td>1.</td><td>IS 14625</td><td>Plastic bottles</td></tr>"
+    one += "<tr><td colspan=3>* Since revised</td></tr><tr><td>2.</td><td>IS 11111</td><td>Teats <a href='t.pdf'>t</a><a href='mailto:a@b.example'>m</a></td><td>Other QCO</td></tr>"
+    page = f"<table>{one}</table><table>{one}</table><table>{head}<tr><td>2.</td><td>IS 11111</td><td>Teats tm</td><td>Copy</td></tr></table><table><tr><td>lonely</td></tr></table>"
+    df = spark.createDataFrame([("https://x.example/s/", page), ("n", None), ("e", "")], "u string, h string").withColumn("row", F.lit(0))
+    got = sorted((r.category, r.fields["is_number"], r.fields["order"], r.links) for r in html.scraped(df, "u", "h").collect())
+    assert got == [
+        ("Feeding Bottles", "IS 11111", "Other QCO", ["https://x.example/s/t.pdf"]),
+        ("Feeding Bottles", "IS 14625", "Bottles QCO S.O. 1(E) x", ["https://x.example/q/1.pdf"]),
+    ]
+    assert html.scraped(df.limit(0), "u", "h").count() == 0
+
+
+def test_markdown_of_pages(spark):
+    page = "<body><header>TOP</header><nav>Left menu</nav><ul><li>Home</li><li>/</li><li>Page</li></ul><h1>Fee</h1><p>The fee is <b>Rs 1000</b>. <a href='/fee.pdf'>Fee PDF</a></p><ul><li>one</li><li>two</li></ul><table><tr><th>a</th><th>b</th></tr></table><p class='x breadcrumb'>Home / x</p><footer>BOTTOM</footer></body>"
+    df = spark.createDataFrame([("https://x.example/x/", page), ("n", None)], "u string, h string")
+    got = {r.url: r.markdown for r in html.markdown(df, "u", "h").collect()}
+    assert got == {"n": "", "https://x.example/x/": "# Fee\n\nThe fee is Rs 1000. [Fee PDF](https://x.example/fee.pdf)\n\n- one\n- two\n\n| a | b |"}
+
+
+def test_versions_are_numbered(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in (3, 5, 0, 2):
+        files.publish(spark.range(n), root)
+    assert spark.read.parquet(files.current(spark, root)).count() == 2
+
+
+def test_a_key_is_numbered_in_one_order(spark, tmp_path):
+    ids = list(range(25_000))
+    random.Random(1).shuffle(ids)
+    spark.createDataFrame([(1, i) for i in ids], "k long, e long").write.parquet(str(tmp_path / "in"))
+    out = jobs.run_to_end(jobs.numbered(jobs.stream(spark, str(tmp_path / "in")), "k", ["e"], "k long, e long"), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert out.where("no != e + 1").count() == 0 and out.count() == 25_000
 
 
 def test_streams(spark, tmp_path):
