@@ -24,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.language import CODE_OF, DESIGNATION, EDGES, Detector, bare, fitted, labelled_sentences
+from sparkloom.llm.language import CODE_OF, DESIGNATION, EDGES, KEPT_WORDS, Detector, bare, fitted, labelled_sentences
 
 COPIED = 0.85
 #: The share of the prompt that one copied stretch must reach for a response to be a copy of it.
@@ -195,6 +195,7 @@ class Judge:
         self.detector = Detector(model)
         self.langs = model.langs
         self.stops = {w: self.langs.index(code) for w, code in stops.items()}
+        self.votes_of: dict[str, int] = {}
         self.refusals, self.besides = automaton(f"{REFUSALS}\n{FIRST_PERSON}"), automaton(BESIDES)
 
     def refuses(self, text: str) -> bool:
@@ -214,8 +215,17 @@ class Judge:
 
     def languages(self, text: str) -> np.ndarray:
         """Votes for each language; quoted labels have none. Stopwords decide where one language leads, else all words vote."""
-        text = re.sub(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|'[^'\n]{3,80}'(?=\W|$)", " ", text)
-        votes = np.bincount([k for raw in DESIGNATION.sub(" ", text).split() if (k := self.stops.get(raw.strip(EDGES).lower())) is not None], minlength=len(self.langs))
+        if any(c in text for c in "\"“«'"):
+            text = re.sub(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|'[^'\n]{3,80}'(?=\W|$)", " ", text)
+        votes = np.zeros(len(self.langs), np.int64)
+        for raw in text.split():
+            # "IS" is a designation, not the word.
+            if (k := self.votes_of.get(raw)) is None:
+                k = self.votes_of[raw] = -1 if raw == "IS" else self.stops.get(raw.strip(EDGES).lower(), -1)
+                if len(self.votes_of) > KEPT_WORDS:
+                    self.votes_of.clear()
+            if k >= 0:
+                votes[k] += 1
         first, second = np.sort(votes)[::-1][:2] if len(votes) > 1 else (votes.max(initial=0), 0)
         if first - second >= LEAD:
             return VOTE * votes
