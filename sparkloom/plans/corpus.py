@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.operators import segments
 from sparkloom.plans.base import CHUNKS, chunks, in_ranges
 from sparkloom.plans.registry import Registry
@@ -67,6 +68,33 @@ def fil7(spark, d):
     return lines.where(F.regexp_count("line", F.lit("[ऀ-ॿ]")) <= F.regexp_count("line", F.lit("[A-Za-z]"))).select("chunk_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
 
 
+@q(
+    "src5_pages_of_documents",
+    f"""WITH {CHUNKS}, o AS (SELECT DISTINCT source_id, unnest(ocr_pages) AS page FROM parsed), p AS (SELECT source_id, page, string_agg(text, chr(10) ORDER BY chunk_id) AS text FROM chunks WHERE page IS NOT NULL AND text IS NOT NULL GROUP BY source_id, page),
+    w AS (SELECT source_id, page, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS l FROM p),
+    g AS (SELECT source_id, page, text, len([x FOR x IN l IF regexp_matches(x, '[ऀ-ॿ]')]) AS words, len([x FOR x IN l IF regexp_matches(x, '^[ा-्]')]) AS signs FROM w),
+    k AS (SELECT source_id, page, words >= 20 AND signs > 0.05 * words AS garbled, array_to_string([x FOR x IN string_split(text, chr(10)) IF len(regexp_extract_all(x, '[ऀ-ॿ]')) <= len(regexp_extract_all(x, '[A-Za-z]'))], chr(10)) AS latin FROM g)
+    SELECT k.source_id, count(*) AS pages, count(*) FILTER (o.page IS NOT NULL) AS scanned, count(*) FILTER (garbled) AS garbled, count(*) FILTER (length(trim(latin)) < 20) AS short, CAST(sum(CASE WHEN length(trim(latin)) >= 20 THEN length(latin) ELSE 0 END) AS BIGINT) AS kept_chars
+    FROM k LEFT JOIN o ON k.source_id = o.source_id AND k.page = o.page GROUP BY k.source_id""",
+)
+def src5(spark, d):
+    """The pages of each document: how many are scanned, garbled or too short once only their Latin lines are kept, and what is kept.
+
+    A page's chunks are put together by (source, page), a bounded group.
+    """
+    c = chunks(spark, d).where("page is not null and text is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n")
+    p = c.groupBy("source_id", "page").agg(text.alias("text"))
+    words, signs = T.words_with_vowel_signs(F.col("text"))
+    latin = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit("[ऀ-ॿ]")) <= F.regexp_count(x, F.lit("[A-Za-z]"))), "\n")
+    k = p.select("source_id", "page", ((words >= 20) & (signs > 0.05 * words)).alias("garbled"), latin.alias("latin"))
+    o = table(spark, d, "parsed").select("source_id", F.explode("ocr_pages").alias("page"), F.lit(True).alias("ocr")).distinct()
+    long = F.length(F.trim("latin")) >= 20
+    return k.join(o, ["source_id", "page"], "left").groupBy("source_id").agg(
+        F.count("*").alias("pages"), F.count("ocr").alias("scanned"), F.count_if("garbled").alias("garbled"), F.count_if(~long).alias("short"), F.sum(F.when(long, F.length("latin")).otherwise(0)).alias("kept_chars")
+    )
+
+
 @q("fil8_sampling_pool", f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE length(text) >= 400 AND len(regexp_extract_all(text, '[A-Za-z]')) > 250")
 def fil8(spark, d):
     return chunks(spark, d).where((F.length("text") >= 400) & (F.regexp_count("text", F.lit("[A-Za-z]")) > 250)).select("chunk_id")

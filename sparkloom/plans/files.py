@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkloom.plans.base import CHUNKS, chunks
+from sparkloom.plans.base import CHUNKS, RESULTS, chunks, results
 from sparkloom.plans.registry import Registry
 from sparkloom.runtime import checkpoint_dir, cut, table
 from sparkloom.sources import files, html
@@ -16,6 +16,8 @@ REGISTRY = Registry()
 q = REGISTRY.add
 #: Postings in a bucket of the index.
 POSTINGS = 2_000_000
+#: Rows in a file.
+FILE_ROWS = 100_000
 
 
 def folder(spark) -> str:
@@ -32,6 +34,28 @@ def snk1(spark, d):
     return files.read_json_lines(spark, path, c.schema)
 
 
+@q("src3_files_below_a_folder", f"WITH {CHUNKS} SELECT coalesce(doc_type, '') AS doc_type, count(*) AS chunks, CAST(sum(length(chunk_id)) AS BIGINT) AS id_chars FROM chunks GROUP BY ALL")
+def src3(spark, d):
+    """Files of two kinds in folders below one another: those whose name matches are found and read, the others passed over."""
+    path = folder(spark)
+    c = chunks(spark, d).select(F.coalesce("doc_type", F.lit("")).alias("doc_type"), "chunk_id")
+    c.withColumn("kind", F.col("doc_type")).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("kind").json(f"{path}/in/deep")
+    c.write.option("maxRecordsPerFile", FILE_ROWS).csv(f"{path}/in/other")
+    lines = files.read_files(spark, f"{path}/in", "*.json").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line != ''")
+    rows = lines.select(F.from_json("line", "doc_type string, chunk_id string").alias("r")).select("r.*")
+    return rows.groupBy("doc_type").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_id")).alias("id_chars"))
+
+
+@q("snk10_appended_log", f"WITH {RESULTS} SELECT type, count(*) AS refusals, count(DISTINCT provider) AS providers FROM results WHERE refused GROUP BY type")
+def snk10(spark, d):
+    """A log of refusals, appended to for questions that must be refused and for the others, and read as one."""
+    path = folder(spark)
+    r = results(spark, d).where("refused").select("id", "type", "provider", F.coalesce("must_refuse", F.lit(False)).alias("must"))
+    files.append_log(r.where("must"), path)
+    files.append_log(r.where("not must"), path)
+    return spark.read.schema(r.schema).parquet(path).groupBy("type").agg(F.count("*").alias("refusals"), F.count_distinct("provider").alias("providers"))
+
+
 @q("snk2_csv_families", "SELECT 'part' AS family, CAST(p_partkey AS VARCHAR) AS key, p_name AS name, 'p_brand=' || p_brand AS extras FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, 's_nationkey=' || CAST(s_nationkey AS VARCHAR) FROM supplier")
 def snk2(spark, d):
     """Two CSV folders of differing columns, written and read as one table with a map of what they don't share."""

@@ -236,6 +236,27 @@ def joi3(spark, d):
     return named.join(cites, ["source_id", "no"]).where("chunk_id != citing").select("chunk_id", "citing")
 
 
+@q(
+    "joi3_references_of_hits",
+    f"""{WITH}, {sql_top('best', 'whole', 5)}, h AS (SELECT DISTINCT query_id, id, source_id, unnest(list_distinct(regexp_extract_all(text, 'IS (\\d+)', 1))) AS no FROM best JOIN chunks ON id = chunk_id),
+    n AS (SELECT chunk_id AS other, source_id, regexp_extract(section, 'IS (\\d+)', 1) AS no, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS have FROM chunks WHERE text IS NOT NULL AND regexp_matches(section, 'IS \\d+')),
+    m AS (SELECT DISTINCT query_id, id, other, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), have)) AS shared FROM h JOIN n USING (source_id, no) JOIN asked USING (query_id) WHERE id <> other)
+    SELECT query_id, id AS chunk_id, other, CAST(shared AS INT) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY shared DESC, other) AS k FROM m) WHERE k <= 2""",
+)
+def joi3_hits(spark, d):
+    """Of each query's best five chunks the two passages of the same source that treat of a standard they cite and share most words with the
+    question. The hits are a bounded list for each query, so a hot source gives no pairs of its chunks with each other."""
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"IS (\d+)"), F.lit(1)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
+    c = chunks(spark, d).where("text is not null")
+    top5 = cut(best(spark, d, 5).join(asked(spark, d), "query_id").select("query_id", "id", words("question").alias("asked")))
+    h = cut(c.select(F.col("chunk_id").alias("id"), "source_id", F.explode(numbers).alias("no")).join(broadcast_if_small(top5), "id"))
+    n = c.where(F.col("section").rlike(r"IS \d+")).select(F.col("chunk_id").alias("other"), "source_id", F.regexp_extract("section", r"IS (\d+)", 1).alias("no"), words("text").alias("have"))
+    m = n.join(broadcast_if_small(h), ["source_id", "no"]).where("id != other").select("query_id", "id", "other", F.size(F.array_intersect("asked", "have")).alias("shared")).distinct()
+    k = F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc("shared"), "other"))
+    return m.withColumn("k", k).where("k <= 2").select("query_id", F.col("id").alias("chunk_id"), "other", "shared")
+
+
 _Q = "vec_id % 50 = 0"
 
 
