@@ -267,9 +267,9 @@ def _skeletons(df: DataFrame) -> DataFrame:
 def candidates(counts: DataFrame, seqs: DataFrame, ids: dict[str, tuple[int, int]]) -> DataFrame:
     """(word, fix, n_fix): the words of the scanned pages with the frequent words of the same skeleton that are ``RARER`` times as frequent."""
     here = seqs.select(F.explode("words").alias("word")).where(F.col("word").rlike(r"\p{L}")).distinct()
-    least = min((n for _, n in ids.values()), default=0)
+    least = min((n for _, n in ids.values()), default=(1 << 63) - 1)
     keyed = cut(_skeletons(counts.where(F.length("word") > 1)))
-    often = keyed.where(F.col("n") >= least).select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "skeleton") if ids else keyed.limit(0).select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "skeleton")
+    often = keyed.where(F.col("n") >= least).select(F.col("word").alias("fix"), F.col("n").alias("n_fix"), "skeleton")
     # Words joined from two lines may stand nowhere else, so they aren't in the counts.
     joined = _skeletons(here.join(counts, "word", "left_anti").select("word", F.lit(1).cast("long").alias("n")))
     rare = keyed.join(here, "word", "left_semi").unionByName(joined)
