@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.runtime import cut
+from sparkloom.runtime import broadcast_if_small, cut
 
 WINDOW, MIN_DF, MAX_DF = 25, 3, 0.08
 
@@ -34,7 +34,8 @@ def associations(wins: DataFrame) -> DataFrame:
 
     Pairs arise within a window only, of at most its 25 words, and are summed in partitions before the shuffle.
     """
-    vocab, n = vocabulary(wins)
+    vocab, n = (cut(x) for x in vocabulary(wins))
+    vocab = broadcast_if_small(vocab)
     kept = wins.join(vocab, "term").groupBy("win").agg(F.array_sort(F.collect_list("term")).alias("t"))
     pair = kept.select(F.explode(F.expr("flatten(transform(sequence(1, size(t)), i -> transform(slice(t, i + 1, size(t)), y -> struct(t[i - 1] as a, y as b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("co"))
     x, y = (vocab.select(F.col("term").alias(s), F.col("df").alias(f"df_{s}")) for s in "ab")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import citations, fusion, keyed, lexical, segments, terms, vectors
 from sparkloom.plans import base
-from sparkloom.runtime import broadcast_if_small, checkpoint_dir
+from sparkloom.runtime import broadcast_if_small, checkpoint_dir, is_small
 from sparkloom.sources import files, html
 from sparkloom.streaming import jobs
 
@@ -272,3 +272,31 @@ def test_chunks_count_once_either_way(spark, sf_dir, monkeypatch):
     assert few.exceptAll(many).isEmpty()
     dates = spark.read.parquet(f"{sf_dir}/chunk.parquet").groupBy("chunk_id").agg(F.max("date_downloaded").alias("latest"))
     assert few.join(dates, "chunk_id").where("date_downloaded != latest").isEmpty()
+
+
+def test_lines_that_need_a_citation(spark):
+    text = "\n".join([
+        "Present the certificate to customs for clearance of LED bulbs.",
+        "Visit the online portal and create an account today.",
+        "Visit the portal within 30 days of the date of the grant.",
+        "**3. Which scheme applies to these products**",
+        "Here is what you have to bring with you:",
+        "| --- | --- |",
+        "The form is at https://x.example/a/very/long/address.pdf",
+        "Short.",
+    ])
+    df = spark.createDataFrame([("a", text), ("b", None)], "id string, answer string").withColumn("line", F.lit(1))
+    got = [(r.needs, r.exempt) for r in citations.lines_to_cite(df, "id", "answer").orderBy("line_no").collect()]
+    assert got == [(True, None), (False, "advice"), (True, None), (False, "heading"), (False, "heading"), (False, "rule"), (False, "link"), (False, "short")]
+
+
+def test_tables_and_headings_that_say_nothing(spark):
+    text = "**A**\n\n**B**\ntext\n| x | y |\n|---|---|\n| - | n/a |\n\n| x | y |\n|---|---|\n| 1 | [2] |\n## End\n"
+    df = spark.createDataFrame([("a", text), ("b", None), ("c", "")], "id string, answer string").withColumn("p", F.lit(1))
+    lines = citations.without_empty_headings(citations.without_empty_tables(df, "id", "answer"))
+    assert "\n".join(r.line for r in lines.where("id = 'a'").orderBy("p").collect()) == "\n**B**\ntext\n\n| x | y |\n|---|---|\n| 1 | [2] |\n"
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), F.lit(50)))
+    assert is_small(df) and not is_small(df, rows=99) and not is_small(df, size=5_000) and is_small(df.limit(0), rows=0, size=0)
